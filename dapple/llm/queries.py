@@ -11,6 +11,7 @@ from dapple.llm.packing import container_fill, pack_items
 from dapple.llm.terms import marked_terms
 from dapple.llm.tokens import token_count
 from dapple.llm.topn import top_n_per_group
+from dapple.llm.vocabulary import map_entries
 from dapple.runtime import read_table
 
 CAPACITY = 512
@@ -44,6 +45,18 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _copies(spark, sf_dir).records()
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_entries(read_table(spark, sf_dir, "label_entries"), read_table(spark, sf_dir, "canonical_map"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir).where("trim(label) != '' AND NOT listed").select("entry_id", "canonical_id")
+
+
+def p5_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir)
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_items(read_table(spark, sf_dir, "documents"), "doc_id", token_count(F.col("text")), CAPACITY)
 
@@ -72,7 +85,7 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).placed()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_terms, p3_found, p3_records, p8_found, p8_fill, p9_found, p9_shares, p9_mix)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_terms, p3_found, p3_records, p5_found, p5_mapped, p8_found, p8_fill, p9_found, p9_shares, p9_mix)}
 
 _TERMS = """
 WITH hit AS (SELECT row_id, coalesce(count, 0) AS c, unnest(regexp_extract_all(lower(label), '[\\p{L}\\p{N}]+')) AS term FROM role_rollup),
