@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dapple.llm.collapse import FormattingCopies
+from dapple.llm.language import document_languages, fit_language_model, label_errors
 from dapple.llm.mixing import Mixture
 from dapple.llm.packing import container_fill, pack_items
 from dapple.llm.terms import marked_terms
@@ -85,7 +86,21 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).placed()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_terms, p3_found, p3_records, p5_found, p5_mapped, p8_found, p8_fill, p9_found, p9_shares, p9_mix)}
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return document_languages(docs, fit_language_model(docs, "doc_id", "text", "lang"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _languages(spark, sf_dir)
+    return label_errors(read_table(spark, sf_dir, "documents"), found, "doc_id", "lang").select("doc_id", "seg_no", "lang")
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_terms, p3_found, p3_records, p5_found, p5_mapped, p8_found, p8_fill, p9_found, p9_shares, p9_mix, p10_found, p10_segments)}
 
 _TERMS = """
 WITH hit AS (SELECT row_id, coalesce(count, 0) AS c, unnest(regexp_extract_all(lower(label), '[\\p{L}\\p{N}]+')) AS term FROM role_rollup),
