@@ -49,6 +49,7 @@ SWITCH = 0.6
 BATCH_CHARS = 400_000
 
 _MARKUP = re.compile(r"<[^<>]{1,300}>")
+_TAG = re.compile(r"[\[(]\s*\w+\s*[:=/][^\[\]()]*[\])]|(?<!\w)[#@]\w+|\b\w+=\w+")
 _BREAK = re.compile(r"[.!?…]+[\"»”’')\]]*\s+|[\r\n  ]+|\s(?:[|•·*/–—]|--+)\s")
 _WORD = re.compile(r"(?<![\w#=/@])[^\W\d_]{2,}(?![\w=/@])|(?<![\w#=/@])[^\W\d_](?=['’][^\W\d_])")
 _HEX = re.compile(r"[a-f]{6}")
@@ -65,9 +66,9 @@ def named_language(lang: Column) -> Column:
 
 
 def units(text: str) -> list[str]:
-    """Sentences and lines of a text; longer runs without a break are cut into windows of words."""
+    """Sentences and lines of a text without mark-up and tags; longer runs without a break are cut into windows of words."""
     out = []
-    text, at = _MARKUP.sub("\n", text), 0
+    text, at = _TAG.sub(" ", _MARKUP.sub("\n", text)), 0
     ends = [(m.end(), m.end()) for m in _BREAK.finditer(text)] + [(len(text), len(text))]
     for end, nxt in ends:
         piece, at = text[at:end], nxt
