@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("training",)
+MODULES = ("training", "bias")
 
 
 def queries() -> dict:
