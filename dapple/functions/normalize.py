@@ -262,10 +262,10 @@ def plain_ascii(x: Column) -> Column:
 
 
 def plane_side(x: Column) -> tuple[Column, Column]:
-    """Plane and side of ``plane.side``; null where one isn't known."""
-    parts = F.split(F.lower(F.trim(x)), r"[.\s]+")
+    """Plane and side of ``plane.side``; null unless both are known and nothing else is there."""
+    parts = F.split(x, r"\.")
     plane, side = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    ok = plane.isin(*PLANES) & side.isin(*SIDES)
+    ok = (F.size(parts) == 2) & plane.isin(*PLANES) & side.isin(*SIDES)
     return F.when(ok, plane), F.when(ok, side)
 
 

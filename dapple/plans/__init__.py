@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("training", "bias")
+MODULES = ("training", "bias", "labels")
 
 
 def queries() -> dict:
