@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("training", "bias", "labels", "records")
+MODULES = ("training", "bias", "labels", "records", "texts")
 
 
 def queries() -> dict:
