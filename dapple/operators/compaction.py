@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dapple.operators.copies import link_copies
-from dapple.runtime import filesystem, fresh_folder, remove, written
+from dapple.runtime import filesystem, fresh_folder, remove, spread, written
 
 TARGET_BYTES = 128 << 20
 SHARD_FILES = 200_000
@@ -104,7 +104,7 @@ def file_records(files: DataFrame) -> DataFrame:
     """The records of files (``file_id``, ``file_path``, ``kind``, ``body``): number within the file from 1, fields
     or canonical JSON, and the 128-bit ``key`` by which equal records are told. A file without a body, of another
     kind or without whole records gives none; headers, empty and short lines are no records."""
-    return files.select("file_id", "file_path", "kind", "body").mapInArrow(_records, RECORD)
+    return spread(files.select("file_id", "file_path", "kind", "body")).mapInArrow(_records, RECORD)
 
 
 class FirstFit:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dapple.runtime import fresh_folder
+from dapple.runtime import fresh_folder, spread
 
 TAGS = ("item", "person", "accessory", "activity", "clothing", "clothing_color")
 ROW = "record_id bigint, child string, pk string, parent_pk string, person_no int, clothing_no int, pos int, value string, payload string"
@@ -105,7 +105,7 @@ class FlatTables:
     def __init__(self, df: DataFrame, record_id: str = "record_id", record: str = "record", path: str | None = None):
         self.spark = df.sparkSession
         self.path = path or fresh_folder(self.spark, "flat")
-        tagged = df.select(F.col(record_id).cast("bigint"), F.col(record)).mapInArrow(_emit, ROW)
+        tagged = spread(df.select(F.col(record_id).cast("bigint"), F.col(record))).mapInArrow(_emit, ROW)
         tagged.write.partitionBy("child").parquet(self.path)
 
     def rows(self) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dapple.runtime import read_table
+from dapple.runtime import read_table, spread
 
 MODELS = {"1-URGENT": "gen_SDXL", "2-HIGH": "gen_3.5", "3-MEDIUM": "gen_Flux"}
 CONTEXT = {"F": "Context-free_CF", "O": "Context-aware_Related_CA-R"}
@@ -29,7 +29,7 @@ def chosen(values: dict[str, str], key: Column, otherwise: str) -> Column:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations: model, context, occupation, type, prompt, cohort, dimension, label, count."""
-    line = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
+    line = spread(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus"))
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")

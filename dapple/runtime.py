@@ -55,3 +55,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = filesystem(spark, path)
     fs.delete(p, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores if a scan has fewer partitions than there are cores (a few small files); otherwise as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
