@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dapple.llm.topn import top_n_per_group
+from dapple.runtime import spread
 
 #: Codes and names of the languages (ISO 639-1, 639-2, 639-3, English and own names).
 NAMES = {
@@ -37,8 +38,8 @@ NAMES = {
 }
 CODES = tuple(NAMES)
 UNDETERMINED = "und"
-SAMPLE_DOCS = 400
-SENTENCES = 4
+SAMPLE_DOCS = 300
+SENTENCES = 3
 LANDMARKS_EACH = 80
 NGRAMS = (1, 2, 3, 4)
 HASH_BITS = 20
@@ -104,7 +105,8 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         whole = owner[:m] == owner[n - 1 :]
         keys.append((owner[:m][whole].astype(np.uint64) << np.uint64(HASH_BITS)) | (mixed[whole] >> np.uint64(64 - HASH_BITS)))
-    pairs = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    pairs = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
     return (pairs >> np.uint64(HASH_BITS)).astype(np.int64), (pairs & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
 
 
@@ -132,7 +134,7 @@ class LanguageModel:
     weights: np.ndarray  # n-gram x language: landmarks' presence times their weights
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], rounds: int = 3, landmarks_each: int = LANDMARKS_EACH) -> LanguageModel:
+    def fit(cls, texts: list[str], labels: list[str], rounds: int = 2, landmarks_each: int = LANDMARKS_EACH) -> LanguageModel:
         """Fit on sentences with labels, some of which may be wrong. Each language needs a sentence."""
         codes = tuple(sorted(set(labels)))
         if not codes:
@@ -272,7 +274,7 @@ def document_languages(df: DataFrame, model: LanguageModel, doc_id: str, text: s
                     })
                 at = end
 
-    rows = df.select(F.col(doc_id).cast("bigint"), F.col(text)).where(F.trim(F.col(text)) != "")
+    rows = spread(df.select(F.col(doc_id).cast("bigint"), F.col(text)).where(F.trim(F.col(text)) != ""))
     return rows.mapInArrow(run, f"{doc_id} bigint, seg_no int, lang string, confidence double, sentences int, segments int")
 
 
