@@ -1,6 +1,6 @@
 """Languages of texts and of their stretches, by string kernels.
 
-The kernel of two strings is the blended spectrum presence kernel: the number of n-grams of 1 to 4 characters that
+The kernel of two strings is the blended spectrum presence kernel: the number of n-grams of 1 to 3 characters that
 both hold, normalised. A Nyström approximation over landmark strings and one-versus-rest kernel ridge regression give
 a weight for each landmark and language. Scores of a batch are its presence matrix times the landmarks' presence
 matrix times these weights; the last two are multiplied once, so that a batch takes one product over the n-grams it
@@ -41,7 +41,7 @@ UNDETERMINED = "und"
 SAMPLE_DOCS = 300
 SENTENCES = 3
 LANDMARKS_EACH = 80
-NGRAMS = (1, 2, 3, 4)
+NGRAMS = (1, 2, 3)
 HASH_BITS = 20
 RIDGE = 1e-3
 MIN_WORDS = 4  # shorter units are tags, labels or single words: no evidence of their own
@@ -50,9 +50,10 @@ SWITCH = 0.6
 BATCH_CHARS = 400_000
 
 _MARKUP = re.compile(r"<[^<>]{1,300}>")
-_TAG = re.compile(r"[\[(]\s*\w+\s*[:=/][^\[\]()]*[\])]|(?<!\w)[#@]\w+|\b\w+=\w+")
-_BREAK = re.compile(r"[.!?…]+[\"»”’')\]]*\s+|[\r\n  ]+|\s(?:[|•·*/–—]|--+)\s")
-_WORD = re.compile(r"(?<![\w#=/@])[^\W\d_]{2,}(?![\w=/@])|(?<![\w#=/@])[^\W\d_](?=['’][^\W\d_])")
+_TAG = re.compile(r"[\[(]\s*\w+\s*[:=/][^\[\]()]*[\])]|(?<!\w)[#@]\w+")
+_PAIR = re.compile(r"\w+=\w+")
+_BREAK = re.compile(r"[.!?…\r\n][.!?…\"»”’')\]\r\n\t ]*(?<=\s)|(?<=\s)(?:[|•·*/–—]|--+)\s")
+_WORD = re.compile(r"\b[^\W\d_]{2,}\b")
 _HEX = re.compile(r"[a-f]{6}")
 _OTHER = re.compile(r"[^\W\d_]+")
 
@@ -69,21 +70,26 @@ def named_language(lang: Column) -> Column:
 def units(text: str) -> list[str]:
     """Sentences and lines of a text without mark-up and tags; longer runs without a break are cut into windows of words."""
     out = []
-    text, at = _TAG.sub(" ", _MARKUP.sub("\n", text)), 0
-    ends = [(m.end(), m.end()) for m in _BREAK.finditer(text)] + [(len(text), len(text))]
-    for end, nxt in ends:
-        piece, at = text[at:end], nxt
-        words = piece.split()
-        if len(words) > 3 * WINDOW_WORDS:
+    if "<" in text:
+        text = _MARKUP.sub("\n", text)
+    if "#" in text or "[" in text or "(" in text or "@" in text:
+        text = _TAG.sub(" ", text)
+    if "=" in text:
+        text = _PAIR.sub(" ", text)
+    at = 0
+    for end in [*(m.end() for m in _BREAK.finditer(text)), len(text)]:
+        piece, at = text[at:end], end
+        if len(piece) > 6 * WINDOW_WORDS and len(words := piece.split()) > 3 * WINDOW_WORDS:
             n = len(words) // WINDOW_WORDS
             out += [" ".join(words[len(words) * i // n : len(words) * (i + 1) // n]) for i in range(n)]
-        elif words:
+        elif piece and not piece.isspace():
             out.append(piece)
     return out
 
 
 def word_count(unit: str) -> int:
-    return sum(1 for w in _WORD.findall(unit) if not _HEX.fullmatch(w.lower()))
+    words = _WORD.findall(unit)
+    return len(words) if len(words) > MIN_WORDS else sum(1 for w in words if not _HEX.fullmatch(w.lower()))
 
 
 def normal(unit: str) -> str:
@@ -133,6 +139,10 @@ class LanguageModel:
     grams: np.ndarray  # sorted n-gram hashes of the landmarks
     weights: np.ndarray  # n-gram x language: landmarks' presence times their weights
 
+    def __post_init__(self):
+        self.row = np.full(1 << HASH_BITS, -1, np.int32)  # by n-gram hash
+        self.row[self.grams] = np.arange(len(self.grams))
+
     @classmethod
     def fit(cls, texts: list[str], labels: list[str], rounds: int = 2, landmarks_each: int = LANDMARKS_EACH) -> LanguageModel:
         """Fit on sentences with labels, some of which may be wrong. Each language needs a sentence."""
@@ -174,9 +184,8 @@ class LanguageModel:
                 end += 1
             owner, gram = presence([normal(t) for t in texts[at:end]])
             size = np.bincount(owner, minlength=end - at)
-            pos = np.searchsorted(self.grams, gram)
-            pos[pos == len(self.grams)] = 0
-            hit = self.grams[pos] == gram
+            pos = self.row[gram]
+            hit = pos >= 0
             owner, pos = owner[hit], pos[hit]
             if len(owner):
                 starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -216,19 +225,38 @@ def stretches(texts: list[str], model: LanguageModel) -> Iterator[tuple[int, int
         weight.append(np.array([1.0 if x >= MIN_WORDS else 0.0 for x in c]))
         flat += p
     scores, at = model.scores(flat), 0
+    top = scores.argmax(axis=1)
+
+    def summed(a: int, b: int, w: np.ndarray) -> np.ndarray:
+        w = np.maximum(w, 1e-3)
+        return w @ scores[a:b] / w.sum()
+
+    segments: list[tuple[int, int, int, int]] = []  # text, seg_no, language, units
+    means: list[np.ndarray] = []
     for i, p in enumerate(parts):
-        if not p:
+        n, w = len(p), weight[i]
+        if not n:
             if texts[i].strip():
                 yield i, 1, UNDETERMINED, 1.0, 0
             continue
-        s, w = scores[at : at + len(p)], weight[i]
-        at += len(p)
-        path = _path(s, w)
-        starts = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
-        for no, (a, b) in enumerate(zip(starts, np.r_[starts[1:], len(p)], strict=True), 1):
-            mean = np.average(s[a:b], axis=0, weights=np.maximum(w[a:b], 1e-3))
-            e = np.exp(3 * (mean - mean.max()))
-            yield i, no, model.codes[path[a]], float(e[path[a]] / e.sum()), int(b - a)
+        told = top[at : at + n][w > 0]
+        if not len(told) or (told == told[0]).all():
+            lang = int(told[0]) if len(told) else int(scores[at : at + n].sum(axis=0).argmax())
+            segments.append((i, 1, lang, n))
+            means.append(summed(at, at + n, w))
+        else:
+            path = _path(scores[at : at + n], w)
+            starts = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
+            for no, (a, b) in enumerate(zip(starts, np.r_[starts[1:], n], strict=True), 1):
+                segments.append((i, no, int(path[a]), int(b - a)))
+                means.append(summed(at + a, at + b, w[a:b]))
+        at += n
+    if segments:
+        e = np.stack(means)
+        e = np.exp(3 * (e - e.max(axis=1, keepdims=True)))
+        share = e / e.sum(axis=1, keepdims=True)
+        for row, (i, no, lang, n) in zip(share, segments, strict=True):
+            yield i, no, model.codes[lang], float(row[lang]), n
 
 
 def fit_language_model(df: DataFrame, doc_id: str, text: str, lang: str, sample_docs: int = SAMPLE_DOCS, sentences: int = SENTENCES) -> LanguageModel:
