@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALPHA = 0.05
@@ -38,14 +38,26 @@ def three_arms(arms: list[tuple[Column, Column]]) -> dict[str, Column]:
     return {"chisq_stat": F.when(usable, stat).otherwise(F.lit(0.0)), "df": F.greatest(k - 1, F.lit(0.0)).cast("int"), "_usable": F.coalesce(usable, F.lit(False))}
 
 
-def with_bh(df, p: str, by: list[str], to: str = "p_adj"):
-    """``df`` with Benjamini-Hochberg adjusted p-values of column ``p`` within groups; null stays null and doesn't count."""
-    group = Window.partitionBy(*by)
-    down = group.orderBy(F.col(p).desc_nulls_last())
-    ranked = df.withColumn("_n", F.count(p).over(group)).withColumn("_r", F.row_number().over(down))
-    raw = F.when(F.col(p).isNotNull(), F.col("_n") / (F.col("_n") - F.col("_r") + 1) * F.col(p))
-    best = F.min(raw).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return ranked.withColumn(to, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), best))).drop("_n", "_r")
+def with_bh(df: DataFrame, p: str, by: list[str], to: str = "p_adj", buckets: int = 1024) -> DataFrame:
+    """``df`` with Benjamini-Hochberg adjusted p-values of column ``p`` within groups; null stays null and doesn't count.
+
+    Equal p-values are adjusted alike, so the work is on distinct values, in buckets of their range: ranks come from
+    the buckets' counts, the running minimum from the buckets' minima. A group of any size is spread over its buckets."""
+    known = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    known = known.withColumn("_b", F.least(F.floor(F.col("_p") * buckets), F.lit(buckets - 1)))
+    inner, outer = Window.partitionBy(*by, "_b"), Window.partitionBy(*by)
+    upto = lambda w, c: w.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = known.groupBy(*by, "_b").agg(F.sum("_c").alias("_s"))
+    before = counts.select(*by, "_b", (F.sum("_s").over(upto(outer, "_b")) - F.col("_s")).alias("_o"), F.sum("_s").over(outer).alias("_n"))
+    ranked = known.join(before, [*by, "_b"]).withColumn("_raw", F.col("_n") / (F.col("_o") + F.sum("_c").over(upto(inner, "_p"))) * F.col("_p"))
+    least = ranked.groupBy(*by, "_b").agg(F.min("_raw").alias("_m"))
+    above = least.select(*by, "_b", F.min("_m").over(outer.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))
+    best = F.min("_raw").over(upto(inner, F.desc("_p")))
+    adjusted = ranked.withColumn("_best", best).join(above, [*by, "_b"]).select(*by, "_p", F.least(F.lit(1.0), "_best", "_above").alias(to))
+    same = F.col(f"l.{p}") == F.col("r._p")
+    for c in by:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return df.alias("l").join(adjusted.alias("r"), same, "left").select("l.*", f"r.{to}")
 
 
 def concentration(x: str | Column) -> Column:

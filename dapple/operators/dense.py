@@ -50,7 +50,7 @@ def dense_fact(obs: DataFrame, cap: int = CAP, capped: bool = True, pooled: bool
     An expectation is null where the rest of the group is empty. No rows in, no rows out."""
     counts = prompt_counts(obs, cap if capped else None, pooled)
     labels = counts.groupBy(*GROUP, "label").agg(F.sum("count").alias("obs_whole"))
-    labels = labels.withColumn("bins", F.count(F.lit(1)).over(Window.partitionBy(*GROUP)))
+    labels = labels.join(labels.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("bins")), GROUP)
     seen = counts.groupBy(*GROUP, "context", "occupation", "label").agg(F.sum("count").alias("count"))
     grid = denominators(counts, cap).join(labels, GROUP)
     rows = grid.join(seen, [*GROUP, "context", "occupation", "label"], "left").withColumn("count", F.coalesce("count", F.lit(0)))

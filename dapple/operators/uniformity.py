@@ -25,7 +25,9 @@ def completed(obs: DataFrame) -> DataFrame:
     dc = ["dimension", "cohort"]
     over = lambda *k: Window.partitionBy(*dc, *k)
     total = lambda *k: F.sum("count").over(over(*k))
-    full = full.withColumns({"n_all": total(), "n_context": total("context"), "n_occ": total("context", "occupation"), "obs_whole": total("label"), "obs_context": total("context", "label"), "bins": F.size(F.collect_set("label").over(over()))})
+    full = full.withColumns({"n_all": total(), "n_context": total("context"), "n_occ": total("context", "occupation"), "obs_whole": total("label"), "obs_context": total("context", "label")})
+    bins = rows.groupBy("dimension", "cohort").agg(F.countDistinct("label").cast("int").alias("bins"))
+    full = full.join(bins, ["dimension", "cohort"])
     share = F.try_divide("obs_whole", "n_all")
     return full.withColumns({"uniform_prop": 1.0 / F.col("bins"), "prop_overall": share, "exp_whole": F.col("n_all") / F.col("bins"), "exp_context": F.col("n_context") * share, "exp_occ": F.col("n_occ") * share})
 
