@@ -92,7 +92,7 @@ class Mixture:
     def report(self) -> DataFrame:
         """By source: ``target_share``, ``need`` and ``passes`` of its records, ``tokens`` and ``share`` supplied,
         ``reach`` (short if ``max_passes`` don't suffice) and ``repeats`` (it needs more than one pass)."""
-        got = self.placed().groupBy("source").agg(F.max("pass_no").alias("passes"), F.sum("tokens").alias("tokens"), F.countDistinct("id").alias("records"))
+        got = self.placed().groupBy("source").agg(F.max("pass_no").alias("passes"), F.sum("tokens").alias("tokens"), F.count_if(F.col("pass_no") == 1).alias("records"))
         rows = self.plan_df.join(got, "source", "left").fillna(0, ["passes", "tokens", "records"])
         total = got.agg(F.sum("tokens")).scalar()
         return rows.withColumn("share", F.coalesce(F.try_divide("tokens", total), F.lit(0.0)))
