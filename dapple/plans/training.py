@@ -39,4 +39,32 @@ def p7_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_bins": p4_bins, "p6_found": p6_found, "p6_persons": p6_persons, "p7_found": p7_found, "p7_table": p7_table}
-SQL: dict[str, str] = {}
+
+
+def _texts(x: str) -> str:
+    """A list of JSON texts: elements of a list, sorted keys of an object, one value."""
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') WHEN 'OBJECT' THEN list_transform(list_sort(json_keys({x})), lambda k: to_json(k)) WHEN 'NULL' THEN [] ELSE list_filter([{x}], lambda v: v IS NOT NULL) END"
+
+
+def _objects(x: str) -> str:
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') WHEN 'OBJECT' THEN [{x}] ELSE [] END"
+
+
+def _leaves(child: str, source: str, x: str, person: str, clothing: str) -> str:
+    return f"SELECT record_id, '{child}' AS child, {person} AS person_no, {clothing} AS clothing_no, pos, x->>'$' AS value FROM (SELECT *, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM (SELECT *, {_texts(x)} AS l FROM {source})) WHERE regexp_matches(x->>'$', '\\S')"
+
+
+_PERSONS = f"""WITH whole AS (SELECT record_id, CAST(record AS JSON)->'cohorts' AS c FROM audit_records WHERE json_valid(record) AND json_type(record) = 'OBJECT'),
+parts AS (SELECT record_id, CASE WHEN json_type(c->'objects') = 'OBJECT' THEN c->'objects'->'items' ELSE c->'objects' END AS items, CASE WHEN json_type(c->'people') = 'ARRAY' THEN c->'people' ELSE c->'people'->'persons' END AS people FROM whole),
+person AS (SELECT * FROM (SELECT record_id, unnest(l) AS p, generate_subscripts(l, 1) AS no FROM (SELECT record_id, {_objects("people")} AS l FROM parts)) WHERE json_type(p) = 'OBJECT')
+"""
+SQL: dict[str, str] = {
+    "p6_found": _PERSONS + f""", garment AS (SELECT * FROM (SELECT record_id, no, unnest(l) AS g, generate_subscripts(l, 1) AS piece FROM (SELECT record_id, no, {_objects("(p->'clothing')")} AS l FROM person)) WHERE json_type(g) = 'OBJECT'),
+rows AS (SELECT record_id, 'person' AS child, no AS person_no, 0 AS clothing_no, no AS pos, coalesce(p->>'person_id', '') AS value FROM person
+UNION ALL SELECT record_id, 'clothing', no, piece, piece, coalesce(g->>'clothing_garment', '') FROM garment
+UNION ALL {_leaves("item", "parts", "items", "0", "0")} UNION ALL {_leaves("accessory", "person", "(p->'accessories')", "no", "0")} UNION ALL {_leaves("activity", "person", "(p->'activities')", "no", "0")}
+UNION ALL {_leaves("clothing_color", "garment", "(g->'clothing_color')", "no", "piece")})
+SELECT record_id, child, CAST(person_no AS INTEGER) AS person_no, CAST(clothing_no AS INTEGER) AS clothing_no, CAST(pos AS INTEGER) AS pos, value FROM rows""",
+    "p6_persons": _PERSONS + """SELECT record_id, concat(record_id, '/person:', no) AS pk, CAST(record_id AS VARCHAR) AS parent_pk, CAST(no AS INTEGER) AS person_no, 0 AS clothing_no, CAST(no AS INTEGER) AS pos, coalesce(p->>'person_id', '') AS value,
+  p->>'age_range' AS age_range, p->>'body_type' AS body_type, p->>'gender_presentation' AS gender_presentation, p->>'pose' AS pose, p->>'skin_tone' AS skin_tone FROM person""",
+}
