@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dapple.runtime import written
+
 ALPHA = 0.05
 Z95 = 1.96
 
@@ -42,7 +44,9 @@ def with_bh(df: DataFrame, p: str, by: list[str], to: str = "p_adj", buckets: in
     """``df`` with Benjamini-Hochberg adjusted p-values of column ``p`` within groups; null stays null and doesn't count.
 
     Equal p-values are adjusted alike, so the work is on distinct values, in buckets of their range: ranks come from
-    the buckets' counts, the running minimum from the buckets' minima. A group of any size is spread over its buckets."""
+    the buckets' counts, the running minimum from the buckets' minima. A group of any size is spread over its buckets.
+    ``df`` is written once, as several steps read it and its p-values may come from a reflection call."""
+    df = written(df, "p-values")
     known = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     known = known.withColumn("_b", F.least(F.floor(F.col("_p") * buckets), F.lit(buckets - 1)))
     inner, outer = Window.partitionBy(*by, "_b"), Window.partitionBy(*by)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dapple.functions.normalize import label_key
 from dapple.functions.stats import chi_part, safe_div
+from dapple.runtime import written
 
 CAP = 10
 POOLED = "ALL_TYPES"
@@ -47,8 +48,9 @@ def denominators(counts: DataFrame, cap: int = CAP) -> DataFrame:
 def dense_fact(obs: DataFrame, cap: int = CAP, capped: bool = True, pooled: bool = True) -> DataFrame:
     """The dense fact: counts, shares, leave-one-out baselines, expectations and chi-square parts by occupation.
 
-    An expectation is null where the rest of the group is empty. No rows in, no rows out."""
-    counts = prompt_counts(obs, cap if capped else None, pooled)
+    An expectation is null where the rest of the group is empty. No rows in, no rows out. The counts by prompt, from
+    which everything follows, are written once, so that the observations are read once."""
+    counts = written(prompt_counts(obs, cap if capped else None, pooled), "prompt-counts")
     labels = counts.groupBy(*GROUP, "label").agg(F.sum("count").alias("obs_whole"))
     labels = labels.join(labels.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("bins")), GROUP)
     seen = counts.groupBy(*GROUP, "context", "occupation", "label").agg(F.sum("count").alias("count"))
