@@ -1,8 +1,8 @@
 """Cluster bootstrap of concentration over roles, and of Fleiss' kappa over items.
 
-Replicates are data, not a loop: every role holds its multiplicities in all replicates as one array, pooled counts
-are array sums by label, and one aggregate gives the concentration of every replicate. The weights have roles x
-replicates x models x contexts cells; roles, models and contexts are dimension tables, not facts.
+Replicates are data, not jobs: counts by label and role times the roles' multiplicities are one matrix product that
+gives the pooled counts of all replicates. Concentration is made of sums over labels, so labels are worked on in
+salted parts, and the parts' sums are added up.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dapple.functions.normalize import family, short_context
-from dapple.functions.stats import concentration
 from dapple.operators.tables import counted
 from dapple.runtime import written
 
 REPLICATES = 1000
+LABEL_SALTS, LABEL_BLOCK = 16, 2000
 PAIRS = (("CA-U", "CF"), ("CA-R", "CF"), ("CA-U", "CA-R"))
 CONDITIONS = ("CF", "CA-R", "CA-U")
 
@@ -42,11 +42,34 @@ def trajectories(dense: DataFrame, group: Column | str, replicates: int = REPLIC
     rows = written(rows, "role-counts")
     models = [r[0] for r in rows.select("model").distinct().orderBy("model").collect()]
     roles = [r[0] for r in rows.select("occupation").distinct().orderBy("occupation").collect()]
-    weights = dense.sparkSession.createDataFrame(role_weights(models, roles, replicates, seed), "model string, context_short string, occupation string, w array<int>")
-    cells = rows.join(weights, ["model", "context_short", "occupation"]).select("model", "context_short", "cohort", "dimension", "label", "c", F.posexplode("w").alias("replicate", "m")).where("m > 0")
-    pooled = cells.groupBy("model", "context_short", "cohort", "dimension", "replicate", "label").agg(F.sum(F.col("c") * F.col("m")).cast("double").alias("x"))
-    bi = pooled.groupBy("model", "context_short", "cohort", "dimension", "replicate").agg(concentration("x").alias("bi"))
-    return bi.withColumn("dimension_family", family(F.col("cohort")))
+    table = role_weights(models, roles, replicates, seed)
+    weights = {key: np.array(g["w"].tolist(), dtype=float) for key, g in table.groupby(["model", "context_short"], sort=False)}
+    at = {role: i for i, role in enumerate(roles)}
+    shared = dense.sparkSession.sparkContext.broadcast(weights)  # models x contexts x roles x replicates, none of which grows with the facts
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The parts of the concentration that add up over labels, for every replicate."""
+        w = shared.value[(pdf["model"].iloc[0], pdf["context_short"].iloc[0])]
+        label, names = pd.factorize(pdf["label"])
+        role, count = pdf["occupation"].map(at).to_numpy(), pdf["c"].to_numpy(float)
+        s, xlogx, n = np.zeros(w.shape[1]), np.zeros(w.shape[1]), np.zeros(w.shape[1], np.int64)
+        for start in range(0, len(names), LABEL_BLOCK):
+            part = (label >= start) & (label < start + LABEL_BLOCK)
+            counts = np.zeros((min(LABEL_BLOCK, len(names) - start), len(at)))
+            np.add.at(counts, (label[part] - start, role[part]), count[part])
+            x = counts @ w
+            s += x.sum(axis=0)
+            xlogx += (x * np.log(np.where(x > 0, x, 1))).sum(axis=0)
+            n += (x > 0).sum(axis=0)
+        head = pdf[["model", "context_short", "cohort", "dimension"]].head(1).reset_index(drop=True)
+        return head.assign(s=[s], xlogx=[xlogx], n=[n])
+
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("label"), F.lit(LABEL_SALTS)))
+    parts = salted.groupBy("model", "context_short", "cohort", "dimension", "_salt").applyInPandas(sums, "model string, context_short string, cohort string, dimension string, s array<double>, xlogx array<double>, n array<bigint>")
+    cells = parts.select("model", "context_short", "cohort", "dimension", F.posexplode(F.arrays_zip("s", "xlogx", "n")).alias("replicate", "z"))
+    g = cells.groupBy("model", "context_short", "cohort", "dimension", "replicate").agg(*[F.sum(f"z.{c}").alias(c) for c in ("s", "xlogx", "n")]).where("s > 0")
+    bi = F.when(F.col("n") <= 1, F.lit(0.0)).otherwise(1 + (F.col("xlogx") / F.col("s") - F.ln("s")) / F.ln(F.col("n").cast("double")))
+    return g.select("model", "context_short", "cohort", "dimension", "replicate", bi.alias("bi"), family(F.col("cohort")).alias("dimension_family"))
 
 
 def over_models(rows: DataFrame, key: str) -> DataFrame:

@@ -161,7 +161,9 @@ def compact(files: DataFrame, out: str | None = None, target_bytes: int = TARGET
     size = F.coalesce(F.col("n_bytes"), F.octet_length("body").cast("bigint"), F.lit(0).cast("bigint"))
     manifest = written(files.where(F.col("file_id").isNotNull() & F.col("kind").isNotNull()).select("file_id", "file_path", "kind", size.alias("n_bytes")), "manifest")
     frozen = files.join(manifest.select("file_id"), "file_id", "left_semi")
-    records = written(file_records(frozen), "records")
+    parsed = fresh_folder(spark, "records")
+    file_records(frozen).write.parquet(parsed)
+    records = spark.read.schema(RECORD).parquet(parsed)
     dropped = written(link_copies(records.select("key", "file_id", "record_no"), ["key"], ["file_id", "record_no"]).select("file_id", "record_no"), "dropped")
     bins = written(first_fit_decreasing(manifest, target_bytes), "bins")
 
@@ -185,4 +187,5 @@ def compact(files: DataFrame, out: str | None = None, target_bytes: int = TARGET
     if fs.exists(to) or not fs.rename(filesystem(spark, staging)[1], to):
         remove(spark, staging)
         raise RuntimeError(f"{final} exists or can't be written; nothing was committed")
+    remove(spark, parsed)
     return Compaction(final, dropped, spark.read.parquet(f"{final}/_bins"))
