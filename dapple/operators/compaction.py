@@ -104,7 +104,7 @@ def file_records(files: DataFrame) -> DataFrame:
     """The records of files (``file_id``, ``file_path``, ``kind``, ``body``): number within the file from 1, fields
     or canonical JSON, and the 128-bit ``key`` by which equal records are told. A file without a body, of another
     kind or without whole records gives none; headers, empty and short lines are no records."""
-    return spread(files.select("file_id", "file_path", "kind", "body")).mapInArrow(_records, RECORD)
+    return files.select("file_id", "file_path", "kind", "body").mapInArrow(_records, RECORD)
 
 
 class FirstFit:
@@ -160,7 +160,7 @@ def compact(files: DataFrame, out: str | None = None, target_bytes: int = TARGET
     spark = files.sparkSession
     size = F.coalesce(F.col("n_bytes"), F.octet_length("body").cast("bigint"), F.lit(0).cast("bigint"))
     manifest = written(files.where(F.col("file_id").isNotNull() & F.col("kind").isNotNull()).select("file_id", "file_path", "kind", size.alias("n_bytes")), "manifest")
-    frozen = files.join(manifest.select("file_id"), "file_id", "left_semi")
+    frozen = spread(files.select("file_id", "file_path", "kind", "body")).join(manifest.select("file_id"), "file_id", "left_semi")
     parsed = fresh_folder(spark, "records")
     file_records(frozen).write.parquet(parsed)
     records = spark.read.schema(RECORD).parquet(parsed)

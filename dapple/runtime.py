@@ -58,6 +58,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores if a scan has fewer partitions than there are cores (a few small files); otherwise as they are."""
+    """Rows over all cores if a plain scan has fewer partitions than there are cores (a few small files); otherwise as
+    they are. A plan with exchanges is left alone: asking for its partitions would run it."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
