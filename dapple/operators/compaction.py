@@ -162,21 +162,27 @@ def compact(files: DataFrame, out: str | None = None, target_bytes: int = TARGET
     manifest = written(files.where(F.col("file_id").isNotNull() & F.col("kind").isNotNull()).select("file_id", "file_path", "kind", size.alias("n_bytes")), "manifest")
     frozen = spread(files.select("file_id", "file_path", "kind", "body")).join(manifest.select("file_id"), "file_id", "left_semi")
     parsed = fresh_folder(spark, "records")
-    file_records(frozen).write.parquet(parsed)
-    records = spark.read.schema(RECORD).parquet(parsed)
+    content = F.xxhash64("file_id", "record_no", "key", *[F.coalesce(c, F.lit("\0")) for c in ("origin", *COLUMNS, "record")])
+    staged = file_records(frozen).withColumn("content", content)
+    staged.write.parquet(parsed)
+    records = spark.read.schema(staged.schema).parquet(parsed)
     dropped = written(link_copies(records.select("key", "file_id", "record_no"), ["key"], ["file_id", "record_no"]).select("file_id", "record_no"), "dropped")
     bins = written(first_fit_decreasing(manifest, target_bytes), "bins")
 
-    kept = records.join(dropped, ["file_id", "record_no"], "left_anti").drop("kind").join(bins, "file_id")
+    gone = dropped.groupBy("file_id").agg(F.collect_list("record_no").alias("gone"))
+    plan = bins.join(gone, "file_id", "left")  # one row a file, so records move once to meet it
+    kept = records.drop("kind").join(plan, "file_id").where(F.coalesce(~F.array_contains("gone", F.col("record_no")), F.lit(True))).drop("gone")
     final = out or fresh_folder(spark, "compacted")
     staging = f"{final}.staging"
     count = bins.select("kind", "bin").distinct().count()
-    kept.repartition(max(1, min(count, 100_000)), "kind", "bin").write.partitionBy("kind", "bin").mode("overwrite").parquet(staging)
-
-    check = [F.count(F.lit(1)).alias("records"), F.bit_xor(F.xxhash64("file_id", "record_no", "key", *[F.coalesce(c, F.lit("\0")) for c in ("origin", *COLUMNS, "record")])).alias("check")]
-    wanted = kept.groupBy("kind", "bin").agg(*check)
-    there = spark.read.schema(kept.schema).parquet(staging) if count else kept.limit(0)
-    found = there.groupBy("kind", "bin").agg(*check)
+    rows = kept.drop("content")
+    rows.repartition(max(1, min(count, 100_000)), "kind", "bin").write.partitionBy("kind", "bin").mode("overwrite").parquet(staging)
+
+    # the contents' hashes were taken when the files were read; they are taken again from what was written
+    check = lambda x: [F.count(F.lit(1)).alias("records"), F.bit_xor(x).alias("check")]
+    wanted = kept.groupBy("kind", "bin").agg(*check(F.col("content")))
+    there = spark.read.schema(rows.schema).parquet(staging) if count else rows.limit(0)
+    found = there.groupBy("kind", "bin").agg(*check(content))
     wrong = wanted.exceptAll(found).unionAll(found.exceptAll(wanted))
     if not wrong.isEmpty():
         remove(spark, staging)
