@@ -300,14 +300,14 @@ def w08_ordinals(spark, sf_dir):
     return rows.join(order, "occupation").withColumn("dim_no", F.dense_rank().over(Window.partitionBy("occupation").orderBy("dimension")).cast("int"))
 
 
-def _trajectories(spark, sf_dir):
-    return B.trajectories(_dense(spark, sf_dir), D.POOLED, replicates=200, seed=0)
+def _trajectories(spark, sf_dir, replicates: int = B.REPLICATES):
+    return B.trajectories(_dense(spark, sf_dir), D.POOLED, replicates=replicates, seed=0)
 
 
 @query("b01_point_concentration", DENSE + f"""SELECT model, {sql_short("context")} AS context_short, dimension, round({sql_concentration("c")}, 9) + 0.0 AS bi FROM (
   SELECT model, context, dimension, label, sum(count)::DOUBLE AS c FROM dense WHERE prompt_group = 'ALL_TYPES' AND count > 0 GROUP BY ALL) GROUP BY ALL""")
 def b01_point(spark, sf_dir):
-    rows = _trajectories(spark, sf_dir).where("replicate = 0")
+    rows = _trajectories(spark, sf_dir, replicates=0)
     return rounded(rows.select("model", "context_short", "dimension", "bi"))
 
 
