@@ -43,10 +43,11 @@ def first_by_text(prompts: DataFrame) -> DataFrame:
     return prompts.groupBy("prompt").agg(F.min(F.struct("role", "bucket", "template", "pos")).alias("f")).select("prompt", "f.*")
 
 
-def image_plan(prompts: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` images over prompts and their seeds, in the order of prompt and seed number."""
+def image_plan(prompts: DataFrame, most: int | None = None) -> DataFrame:
+    """The images over prompts and their seeds, in the order of prompt and seed number; the first ``most``, or all."""
     rows = prompts.select("prompt", F.posexplode(seeds(F.col("prompt"))).alias("seed_no", "seed"))
-    return rows.orderBy("prompt", "seed_no").limit(most)
+    ordered = rows.orderBy("prompt", "seed_no")
+    return ordered if most is None else ordered.limit(most)
 
 
 Client = Callable[[list[str]], list[dict]]

@@ -80,17 +80,17 @@ def x10(spark, sf_dir):
 
 
 def _bank(spark, sf_dir):
-    """A context bank: the first activities and items by name of each role's related and unrelated contexts."""
+    """A context bank: the activities and items of each role's related and unrelated contexts, paired in the order of their names."""
     r = read_table(spark, sf_dir, "role_rollup").where("context IN ('CA-R', 'CA-U') AND label IS NOT NULL AND dimension IN ('activities', 'items')")
     kind = r.select(F.replace("occupation", F.lit("_"), F.lit(" ")).alias("role"), F.when(F.col("context") == "CA-R", "related").otherwise("unrelated").alias("bucket"), "dimension", "label").distinct()
     from pyspark.sql import Window
 
-    ranked = kind.withColumn("pos", F.row_number().over(Window.partitionBy("role", "bucket", "dimension").orderBy("label"))).where("pos <= 4")
+    ranked = kind.withColumn("pos", F.row_number().over(Window.partitionBy("role", "bucket", "dimension").orderBy("label")))
     return ranked.groupBy("role", "bucket", "pos").agg(F.max(F.when(F.col("dimension") == "activities", F.col("label"))).alias("action"), F.max(F.when(F.col("dimension") == "items", F.col("label"))).alias("location"))
 
 
 _BANK = """WITH k AS (SELECT DISTINCT replace(occupation, '_', ' ') AS role, CASE context WHEN 'CA-R' THEN 'related' ELSE 'unrelated' END AS bucket, dimension, label FROM role_rollup WHERE context IN ('CA-R', 'CA-U') AND label IS NOT NULL AND dimension IN ('activities', 'items')),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY role, bucket, dimension ORDER BY label) AS INTEGER) AS pos FROM k QUALIFY pos <= 4),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY role, bucket, dimension ORDER BY label) AS INTEGER) AS pos FROM k),
 bank AS (SELECT role, bucket, pos, max(CASE WHEN dimension = 'activities' THEN label END) AS action, max(CASE WHEN dimension = 'items' THEN label END) AS location FROM r GROUP BY ALL),
 full_bank AS (SELECT * FROM bank WHERE action IS NOT NULL AND location IS NOT NULL),
 prompts AS (SELECT DISTINCT role, bucket, 0 AS template, 0 AS pos, 'a photo of a ' || role AS prompt FROM full_bank UNION ALL SELECT role, bucket, 1, pos, 'a photo of a ' || role || ' in a ' || location FROM full_bank
@@ -110,7 +110,7 @@ def u05(spark, sf_dir):
 
 @query("e03_x66_image_plan")
 def e03(spark, sf_dir):
-    return P.image_plan(P.first_by_text(P.expand(_bank(spark, sf_dir))), 5000)
+    return P.image_plan(P.first_by_text(P.expand(_bank(spark, sf_dir))))
 
 
 @query("e02_f07_x51_scored_items", _BANK + "SELECT role, bucket, pos, action || ' in ' || location AS text, true AS accept FROM full_bank")

@@ -1,8 +1,12 @@
 """The queries do the whole job: no replicates, rows or groups are left out."""
 
+from collections import defaultdict
+
 import pytest
+from pyspark.sql import functions as F
 
 from dapple import plans
+from dapple.operators import prompts as P
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +15,27 @@ SF = "/root/testdata/sf0.001"
 def test_intervals_take_all_replicates(spark, name):
     rows = plans.queries()[name](spark, SF).collect()
     assert rows and {r.n_replicates for r in rows} == {1000}
+
+
+def _pairs(spark):
+    """Pairs of an activity and an item by role and bucket: as many as there are of the rarer."""
+    seen = defaultdict(set)
+    for r in spark.read.parquet(f"{SF}/role_rollup.parquet").where("context IN ('CA-R', 'CA-U') AND label IS NOT NULL AND dimension IN ('activities', 'items')").collect():
+        seen[(r.occupation and r.occupation.replace("_", " "), r.context, r.dimension)].add(r.label)
+    return {(o, c): min(len(seen[(o, c, "activities")]), len(seen[(o, c, "items")])) for o, c, _ in list(seen)}
+
+
+def test_banks_keep_every_pair(spark):
+    pairs, queries = _pairs(spark), plans.queries()
+    assert max(pairs.values()) > 4
+    assert queries["e02_f07_x51_scored_items"](spark, SF).count() == sum(pairs.values())
+    prompts = queries["e01_x52_prompts"](spark, SF)
+    assert prompts.count() == sum(1 + 2 * n for n in pairs.values() if n)
+    assert queries["u05_w05_first_prompts"](spark, SF).count() == prompts.select("prompt").distinct().count()
+
+
+def test_image_plan_has_all_images_unless_told(spark):
+    prompts = spark.range(300).select(F.concat(F.lit("a photo of "), "id").alias("prompt"))
+    assert P.image_plan(prompts).count() == 300 * P.SEEDS and P.image_plan(prompts, 30).count() == 30
+    queries = plans.queries()
+    assert queries["e03_x66_image_plan"](spark, SF).count() == P.SEEDS * queries["u05_w05_first_prompts"](spark, SF).count()
