@@ -63,7 +63,7 @@ def c09(spark, sf_dir):
 
 @query("c01_c02_c03_z07_semantic_clean")
 def c01(spark, sf_dir):
-    return S.semantic_clean(read_table(spark, sf_dir, "role_rollup").where("context = 'CF'"), ["cohort", "dimension"])
+    return S.semantic_clean(read_table(spark, sf_dir, "role_rollup"), ["context", "cohort", "dimension"])
 
 
 @query("c11_w07_unlike_items")

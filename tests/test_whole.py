@@ -1,12 +1,13 @@
 """The queries do the whole job: no replicates, rows or groups are left out."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from dapple import plans
 from dapple.operators import prompts as P
+from dapple.operators import similar as S
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +40,12 @@ def test_image_plan_has_all_images_unless_told(spark):
     assert P.image_plan(prompts).count() == 300 * P.SEEDS and P.image_plan(prompts, 30).count() == 30
     queries = plans.queries()
     assert queries["e03_x66_image_plan"](spark, SF).count() == P.SEEDS * queries["u05_w05_first_prompts"](spark, SF).count()
+
+
+def test_cleaning_takes_every_context(spark):
+    out = plans.queries()["c01_c02_c03_z07_semantic_clean"](spark, SF).persist()
+    assert {r.context for r in out.select("context").distinct().collect()} >= {"CF", "CA-R", "CA-U"}
+    rows = spark.read.parquet(f"{SF}/role_rollup.parquet")
+    alone = S.semantic_clean(rows.where("context = 'CF'"), ["cohort", "dimension"]).collect()
+    assert Counter(map(tuple, out.where("context = 'CF'").drop("context").collect())) == Counter(map(tuple, alone))
+    out.unpersist()
