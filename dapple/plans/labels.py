@@ -144,11 +144,11 @@ def x43(spark, sf_dir):
     return d.select("dimension", "label", F.array_join(N.generic_tokens(F.col("dimension"), F.col("label")), " ").alias("tokens"))
 
 
-@query("x35_x36_x46_dimension_names", """WITH d AS (SELECT DISTINCT cohort, dimension FROM rollup_raw WHERE dimension IS NOT NULL AND cohort IS NOT NULL AND regexp_matches(dimension, '^[A-Za-z_ ]+$')),
+@query("x35_x36_x46_dimension_names", """WITH d AS (SELECT DISTINCT cohort, dimension FROM rollup_raw WHERE dimension IS NOT NULL AND cohort IS NOT NULL),
  k AS (SELECT *, regexp_replace(regexp_replace(lower(trim(dimension)), '[^0-9a-z]+', '_', 'g'), '^_+|_+$', '', 'g') AS key FROM d)
 SELECT cohort, dimension, key, regexp_replace(regexp_replace(lower(cohort), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-|-$', '', 'g') || '.' || key AS name FROM k""")
 def x35(spark, sf_dir):
-    d = read_table(spark, sf_dir, "rollup_raw").where("dimension IS NOT NULL AND cohort IS NOT NULL AND dimension RLIKE '^[A-Za-z_ ]+$'").select("cohort", "dimension").distinct()
+    d = read_table(spark, sf_dir, "rollup_raw").where("dimension IS NOT NULL AND cohort IS NOT NULL").select("cohort", "dimension").distinct()
     return d.select("cohort", "dimension", N.dimension_key(F.col("dimension")).alias("key"), N.dimension_name(F.col("cohort"), F.col("dimension")).alias("name"))
 
 

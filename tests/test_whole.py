@@ -1,5 +1,6 @@
 """The queries do the whole job: no replicates, rows or groups are left out."""
 
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -49,3 +50,11 @@ def test_cleaning_takes_every_context(spark):
     alone = S.semantic_clean(rows.where("context = 'CF'"), ["cohort", "dimension"]).collect()
     assert Counter(map(tuple, out.where("context = 'CF'").drop("context").collect())) == Counter(map(tuple, alone))
     out.unpersist()
+
+
+def test_dirty_dimension_names_have_rows(spark):
+    got = {(r.cohort, r.dimension): r.key for r in plans.queries()["x35_x36_x46_dimension_names"](spark, SF).collect()}
+    raw = spark.read.parquet(f"{SF}/rollup_raw.parquet").where("dimension IS NOT NULL AND cohort IS NOT NULL").select("cohort", "dimension").distinct().collect()
+    assert set(got) == {(r.cohort, r.dimension) for r in raw}
+    dirty = {d: k for (_, d), k in got.items() if re.search("[^A-Za-z_ ]", d)}
+    assert dirty and all(re.fullmatch("[0-9a-z]+(_[0-9a-z]+)*", k) for k in dirty.values())
