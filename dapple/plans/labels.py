@@ -188,9 +188,9 @@ def f09(spark, sf_dir):
     return R.search(rows(spark, sf_dir), "lantern", ["label", "dimension", "occupation"]).select("row_id")
 
 
-@query("f14_o01_o04_final_columns", "SELECT occupation AS \"Occupation\", label AS \"Label\", count AS \"n.count\" FROM role_rollup WHERE dimension = 'mood' AND label IS NOT NULL")
+@query("f14_o01_o04_final_columns", "SELECT occupation AS \"Occupation\", label AS \"Label\", count AS \"n.count\" FROM role_rollup WHERE label IS NOT NULL")
 def f14(spark, sf_dir):
-    return rows(spark, sf_dir).where("dimension = 'mood' AND label IS NOT NULL").select(F.col("occupation").alias("Occupation"), F.col("label").alias("Label"), F.col("count").alias("n.count"))
+    return rows(spark, sf_dir).where("label IS NOT NULL").select(F.col("occupation").alias("Occupation"), F.col("label").alias("Label"), F.col("count").alias("n.count"))
 
 
 @query("f16_describe", "SELECT dimension, count(*) AS n, count(label) AS labels, count(count) AS counts, min(count) AS low, max(count) AS high, round(avg(count), 6) AS mean FROM role_rollup GROUP BY ALL")
@@ -212,17 +212,17 @@ def s15(spark, sf_dir):
 
 
 @query("k02_count_rows", """SELECT source_file, cohort, dimension, label, count, CAST(count(*) OVER (PARTITION BY source_file, cohort, dimension) AS INTEGER) AS bin FROM (
-  SELECT source_file, cohort, dimension, label, CAST(sum(coalesce(count, 0)) AS BIGINT) AS count FROM role_rollup WHERE occupation = 'janitor' GROUP BY ALL)""")
+  SELECT source_file, cohort, dimension, label, CAST(sum(coalesce(count, 0)) AS BIGINT) AS count FROM role_rollup GROUP BY ALL)""")
 def k02(spark, sf_dir):
     from pyspark.sql import Window
 
-    r = rows(spark, sf_dir).where("occupation = 'janitor'").groupBy("source_file", "cohort", "dimension", "label").agg(F.sum(F.coalesce("count", F.lit(0))).alias("count"))
+    r = rows(spark, sf_dir).groupBy("source_file", "cohort", "dimension", "label").agg(F.sum(F.coalesce("count", F.lit(0))).alias("count"))
     return r.withColumn("bin", F.count(F.lit(1)).over(Window.partitionBy("source_file", "cohort", "dimension")).cast("int"))
 
 
-@query("k03_nested_counts", """SELECT source_file, dimension, string_agg(label || '=' || c, ';' ORDER BY label) AS counts FROM (SELECT source_file, dimension, label, sum(coalesce(count, 0)) AS c FROM role_rollup WHERE label IS NOT NULL AND dimension = 'mood' GROUP BY ALL) GROUP BY ALL""")
+@query("k03_nested_counts", """SELECT source_file, dimension, string_agg(label || '=' || c, ';' ORDER BY label) AS counts FROM (SELECT source_file, dimension, label, sum(coalesce(count, 0)) AS c FROM role_rollup WHERE label IS NOT NULL GROUP BY ALL) GROUP BY ALL""")
 def k03(spark, sf_dir):
-    nested = R.nested_counts(rows(spark, sf_dir).where("dimension = 'mood'"), ["source_file", "dimension"])
+    nested = R.nested_counts(rows(spark, sf_dir), ["source_file", "dimension"])
     return nested.select("source_file", "dimension", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e.key, e.value.cast("string"))), ";").alias("counts"))
 
 
@@ -331,21 +331,21 @@ def a45(spark, sf_dir):
     return only.union(r.where("context = 'CA-U' AND prompt_no = 1").select("occupation")).distinct()
 
 
-@query("c12_collapse", """WITH t AS (SELECT dimension, label, CAST(sum(count) AS BIGINT) AS count FROM role_rollup WHERE dimension IN ('mood', 'weather', 'framing') AND label IS NOT NULL AND count IS NOT NULL GROUP BY ALL),
+@query("c12_collapse", """WITH t AS (SELECT dimension, label, CAST(sum(count) AS BIGINT) AS count FROM role_rollup WHERE label IS NOT NULL AND count IS NOT NULL GROUP BY ALL),
 s AS (SELECT *, count::DOUBLE / sum(count) OVER (PARTITION BY dimension) AS share FROM t)
 SELECT dimension, label, count, round(share, 9) AS share, '' AS members FROM s WHERE share >= 0.05
 UNION ALL SELECT dimension, 'Other (' || CAST(sum(count) AS BIGINT) || ')', CAST(sum(count) AS BIGINT), round(sum(share), 9), string_agg(label, ',' ORDER BY label) FROM s WHERE share < 0.05 GROUP BY dimension""")
 def c12(spark, sf_dir):
-    t = rows(spark, sf_dir).where("dimension IN ('mood', 'weather', 'framing') AND label IS NOT NULL AND count IS NOT NULL").groupBy("dimension", "label").agg(F.sum("count").alias("count"))
+    t = rows(spark, sf_dir).where("label IS NOT NULL AND count IS NOT NULL").groupBy("dimension", "label").agg(F.sum("count").alias("count"))
     return rounded(R.collapse_small(R.shares(t, ["dimension"]), ["dimension"]))
 
 
-@query("x08_wilson", """WITH t AS (SELECT dimension, label, count(*) AS k FROM role_rollup WHERE dimension IN ('mood', 'weather') AND label IS NOT NULL GROUP BY ALL), n AS (SELECT *, CAST(sum(k) OVER (PARTITION BY dimension) AS DOUBLE) AS n FROM t)
+@query("x08_wilson", """WITH t AS (SELECT dimension, label, count(*) AS k FROM role_rollup WHERE label IS NOT NULL GROUP BY ALL), n AS (SELECT *, CAST(sum(k) OVER (PARTITION BY dimension) AS DOUBLE) AS n FROM t)
 SELECT dimension, label, k, round(greatest(0, ((k / n + 3.8416 / (2 * n)) - 1.96 * sqrt((k / n * (1 - k / n) + 3.8416 / (4 * n)) / n)) / (1 + 3.8416 / n)), 9) AS low, round(least(1, ((k / n + 3.8416 / (2 * n)) + 1.96 * sqrt((k / n * (1 - k / n) + 3.8416 / (4 * n)) / n)) / (1 + 3.8416 / n)), 9) AS high FROM n""")
 def x08(spark, sf_dir):
     from pyspark.sql import Window
 
-    t = rows(spark, sf_dir).where("dimension IN ('mood', 'weather') AND label IS NOT NULL").groupBy("dimension", "label").agg(F.count(F.lit(1)).alias("k"))
+    t = rows(spark, sf_dir).where("label IS NOT NULL").groupBy("dimension", "label").agg(F.count(F.lit(1)).alias("k"))
     n = F.sum("k").over(Window.partitionBy("dimension"))
     return rounded(R.with_interval(t, "k", n))
 

@@ -58,3 +58,18 @@ def test_dirty_dimension_names_have_rows(spark):
     assert set(got) == {(r.cohort, r.dimension) for r in raw}
     dirty = {d: k for (_, d), k in got.items() if re.search("[^A-Za-z_ ]", d)}
     assert dirty and all(re.fullmatch("[0-9a-z]+(_[0-9a-z]+)*", k) for k in dirty.values())
+
+
+@pytest.mark.parametrize(("name", "key", "column", "condition"), [
+    ("k03_nested_counts", "dimension", "dimension", "label IS NOT NULL"), ("k02_count_rows", "dimension", "dimension", "true"), ("f14_o01_o04_final_columns", "Label", "label", "label IS NOT NULL"),
+    ("c12_collapse", "dimension", "dimension", "label IS NOT NULL AND count IS NOT NULL"), ("x08_wilson", "dimension", "dimension", "label IS NOT NULL"),
+])
+def test_no_dimension_is_left_out(spark, name, key, column, condition):
+    got = {r[0] for r in plans.queries()[name](spark, SF).select(key).distinct().collect()}
+    want = {r[0] for r in spark.read.parquet(f"{SF}/role_rollup.parquet").where(condition).select(column).distinct().collect()}
+    assert got == want and len(want) > 3
+
+
+def test_count_rows_of_every_role(spark):
+    rows = spark.read.parquet(f"{SF}/role_rollup.parquet")
+    assert plans.queries()["k02_count_rows"](spark, SF).count() == rows.select("source_file", "cohort", "dimension", "label").distinct().count()
