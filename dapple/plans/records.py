@@ -96,9 +96,9 @@ def _lines(spark, sf_dir):
     return files.select(F.explode(F.split("body", "\n")).alias("line")).where(F.try_parse_json("line").isNotNull())
 
 
-@query("a27_r03_f13_report_counts", _LINES + "SELECT source, dimension, count(*) AS n, CAST(sum(count) AS BIGINT) AS total FROM tidy WHERE lower(label) <> 'unknown' AND source = 'attribute' GROUP BY ALL")
+@query("a27_r03_f13_report_counts", _LINES + "SELECT source, dimension, count(*) AS n, CAST(sum(count) AS BIGINT) AS total FROM tidy WHERE lower(label) <> 'unknown' GROUP BY ALL")
 def a27(spark, sf_dir):
-    tidy = T.report_rows(_lines(spark, sf_dir)).where("lower(label) != 'unknown' AND source = 'attribute'")
+    tidy = T.report_rows(_lines(spark, sf_dir)).where("lower(label) != 'unknown'")
     return tidy.groupBy("source", "dimension").agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("total"))
 
 

@@ -73,3 +73,8 @@ def test_no_dimension_is_left_out(spark, name, key, column, condition):
 def test_count_rows_of_every_role(spark):
     rows = spark.read.parquet(f"{SF}/role_rollup.parquet")
     assert plans.queries()["k02_count_rows"](spark, SF).count() == rows.select("source_file", "cohort", "dimension", "label").distinct().count()
+
+
+def test_reports_count_groups_and_attributes(spark):
+    rows = plans.queries()["a27_r03_f13_report_counts"](spark, SF).collect()
+    assert {r.source for r in rows} == {"group", "attribute"}
