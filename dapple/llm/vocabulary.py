@@ -4,7 +4,8 @@ Typed values are normalised (case, separators, articles, quantities, remarks, di
 compared as strings of letters and digits, in each rotation of their words. What isn't equal is joined by the pigeonhole
 principle: a reference string is cut into k+1 segments, and a value within k edits holds one of them unchanged at
 nearly the same place; values are joined on these substrings by equality and checked with ``levenshtein``. k grows
-with the length of the reference string. What is left may abbreviate an entry or hold one between other words.
+with the length of the reference string. What is left may abbreviate an entry or hold one between other words, wherever
+it stands. Words of values of more than 6 words aren't rotated.
 Values without a match are told by an anti join.
 
 Typed dimensions are mapped to the list's dimensions by the same steps first. All steps work on distinct values.
@@ -139,8 +140,8 @@ def match_values(values: DataFrame, refs: DataFrame, scopes: DataFrame | None =
       ON {_compact("f.words")} = r.head""", forms=forms, refs=refs)
     held = """
       SELECT f.value, f.rank, r.id, r.scope, 5D + 1 / char_length(r.ref) AS d FROM
-        (SELECT value, rank, explode(transform(filter(flatten(transform(sequence(1, least(size(w), 12)), a -> transform(sequence(a, least(size(w), a + 5)), b -> struct(a, b)))), s -> s.b - s.a + 1 < size(w)),
-           s -> array_join(slice(w, s.a, s.b - s.a + 1), ' '))) AS part FROM (SELECT value, rank, split(words, ' ') AS w FROM {forms})) f
+        (SELECT value, rank, explode(transform(filter(flatten(transform(sequence(1, size(w)), a -> transform(sequence(a, least(size(w), a + longest - 1)), b -> struct(a, b)))), s -> s.b - s.a + 1 < size(w)),
+           s -> array_join(slice(w, s.a, s.b - s.a + 1), ' '))) AS part FROM (SELECT f.value, f.rank, split(f.words, ' ') AS w, l.longest FROM {forms} f CROSS JOIN (SELECT coalesce(max(size(split(words, ' '))), 1) AS longest FROM {refs}) l)) f
       JOIN {refs} r ON f.part = r.words"""
     found = [sql("SELECT value, rank, id, scope, CAST(d AS DOUBLE) AS d FROM {near}", near=near), short, sql(held, forms=forms, refs=refs)]
     if loose:

@@ -28,3 +28,11 @@ def test_empty(spark):
     none, some = spark.createDataFrame([], ENTRY), spark.createDataFrame([(1, "mood", "calm", None, None)], ENTRY)
     assert map_entries(none, spark.createDataFrame(REFS, REF)).collect() == []
     assert [r.canonical_id for r in map_entries(some, spark.createDataFrame([], REF)).collect()] == [0]
+
+
+def test_entries_late_in_long_values(spark):
+    before, name = " ".join(f"word{i}q" for i in range(14)), "a b c d e f g h"
+    refs = spark.createDataFrame([*REFS, (13, 12, "o", "items", name, name)], REF)
+    values = [(f"{before} mop bucket here", 1), (f"{before} {name} here", 12), (f"{before} here", 0)]
+    entries = spark.createDataFrame([(i, "items", v, None, None) for i, (v, _) in enumerate(values)], ENTRY)
+    assert {r.entry_id: r.canonical_id for r in map_entries(entries, refs).collect()} == {i: c for i, (_, c) in enumerate(values)}
