@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dapple.runtime import written
+
 HOT_KEYS = 1000
 SALTS = 64
 
@@ -26,7 +28,7 @@ def link_copies(rows: DataFrame, key: list[str], order: list[str], keep: list[st
     """
     n = rows.count()
     limit = max(n // HOT_KEYS, 10_000)
-    groups = kept_rows(rows, key, order).where(F.col("copies") > 1)
+    groups = written(kept_rows(rows, key, order).where(F.col("copies") > 1), "copied-keys")
     hot = groups.where(F.col("copies") > limit).select(*key, F.lit(True).alias("_hot"))
     spread: Column = F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int")
     left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))

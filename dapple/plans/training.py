@@ -59,6 +59,22 @@ parts AS (SELECT record_id, CASE WHEN json_type(c->'objects') = 'OBJECT' THEN c-
 person AS (SELECT * FROM (SELECT record_id, unnest(l) AS p, generate_subscripts(l, 1) AS no FROM (SELECT record_id, {_objects("people")} AS l FROM parts)) WHERE json_type(p) = 'OBJECT')
 """
 SQL: dict[str, str] = {
+    "p4_found": r"""WITH line AS (SELECT file_id, split_part(file_path, '/frequency/', 1) AS origin, generate_subscripts(string_split(body, chr(10)), 1) AS ln, unnest(string_split(body, chr(10))) AS x FROM tiny_files WHERE kind = 'frequencies' AND body IS NOT NULL),
+cells AS (SELECT file_id, origin, ln, list_transform(regexp_extract_all(rtrim(x, chr(13)) || ',', '("(?:[^"]|"")*"|[^,"]*),', 1), lambda v: CASE WHEN starts_with(v, '"') THEN replace(v[2:-2], '""', '"') ELSE v END) AS c FROM line WHERE trim(x, chr(13) || ' ,') <> ''),
+headed AS (SELECT *, last_value(CASE WHEN list_sort(list_transform(c, lambda v: trim(v))) @> ['cohort', 'count', 'dimension', 'label'] THEN list_transform(c, lambda v: trim(v)) END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY ln) AS head,
+  list_sort(list_transform(c, lambda v: trim(v))) @> ['cohort', 'count', 'dimension', 'label'] AS is_head FROM cells),
+frequency AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY ln) AS record_no, to_json([origin, c[list_position(head, 'cohort')], c[list_position(head, 'dimension')], c[list_position(head, 'label')], c[list_position(head, 'count')]])::VARCHAR AS key
+  FROM headed WHERE NOT is_head AND len(c) >= len(head)),
+audit AS (SELECT file_id, body, trim(body, chr(10) || chr(13) || chr(9) || ' ') AS t FROM tiny_files WHERE kind = 'audit' AND body IS NOT NULL),
+cut AS (SELECT file_id, list_filter(list_reverse(range(1, length(t) + 1)), lambda i: t[i] = '}' AND json_valid(t[1:i] || ']')) AS ends, t FROM audit WHERE NOT json_valid(t) AND starts_with(t, '[')),
+piece AS (SELECT file_id, 1 AS ln, CAST(t AS JSON) AS j FROM audit WHERE json_valid(t) AND json_type(t) = 'OBJECT'
+  UNION ALL SELECT file_id, generate_subscripts(json_extract(t, '$[*]'), 1), unnest(json_extract(t, '$[*]')) FROM audit WHERE json_valid(t) AND json_type(t) = 'ARRAY'
+  UNION ALL SELECT file_id, generate_subscripts(json_extract(t[1:ends[1]] || ']', '$[*]'), 1), unnest(json_extract(t[1:ends[1]] || ']', '$[*]')) FROM cut WHERE len(ends) > 0
+  UNION ALL SELECT file_id, ln, CAST(x AS JSON) FROM (SELECT file_id, generate_subscripts(string_split(t, chr(10)), 1) AS ln, unnest(string_split(t, chr(10))) AS x FROM audit WHERE NOT json_valid(t) AND NOT starts_with(t, '[')) WHERE json_valid(x)),
+numbered AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY ln) AS record_no, j FROM piece WHERE json_type(j) = 'OBJECT'),
+document AS (SELECT file_id, record_no, string_agg(n.fullkey || ' ' || n.type || ' ' || coalesce(n.atom->>'$', ''), chr(30) ORDER BY n.fullkey) AS key FROM numbered, json_tree(numbered.j) n GROUP BY ALL),
+every AS (SELECT 'f' AS kind, * FROM frequency UNION ALL SELECT 'a', * FROM document)
+SELECT file_id, CAST(record_no AS INTEGER) AS record_no FROM every QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY file_id, record_no) > 1""",
     "p6_found": _PERSONS + f""", garment AS (SELECT * FROM (SELECT record_id, no, unnest(l) AS g, generate_subscripts(l, 1) AS piece FROM (SELECT record_id, no, {_objects("(p->'clothing')")} AS l FROM person)) WHERE json_type(g) = 'OBJECT'),
 rows AS (SELECT record_id, 'person' AS child, no AS person_no, 0 AS clothing_no, no AS pos, coalesce(p->>'person_id', '') AS value FROM person
 UNION ALL SELECT record_id, 'clothing', no, piece, piece, coalesce(g->>'clothing_garment', '') FROM garment

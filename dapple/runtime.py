@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,13 +20,29 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="dapple-"))
+        folder = tempfile.mkdtemp(prefix="dapple-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir("file://" + folder)
     return sc.getCheckpointDir().rstrip("/")
 
 
+_GIVEN: list[str] = []
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new, unused folder name in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused folder name in the shared folder; see :func:`clean`."""
+    _GIVEN.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _GIVEN[-1]
+
+
+def clean(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
+    """Remove all folders given out so far but for those in ``keep``, and return their number. DataFrames that operators
+    returned before can't be read afterwards, so write what is wanted first."""
+    gone = [p for p in _GIVEN if p not in keep]
+    for path in gone:
+        remove(spark, path)
+        _GIVEN.remove(path)
+    return len(gone)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -57,9 +75,31 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = filesystem(spark, path)
+    return fs.exists(p)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file if there is none of its name; whether it was written."""
+    fs, p = filesystem(spark, path)
+    if fs.exists(p):
+        return False
+    stream = fs.create(p, False)
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.option("wholetext", True).text(path).first()[0]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores if a plain scan has fewer partitions than there are cores (a few small files); otherwise as
     they are. A plan with exchanges is left alone: asking for its partitions would run it."""
+    if not hasattr(df, "_jdf"):  # a remote session plans its own scans
+        return df
     plan = df._jdf.queryExecution().executedPlan()
     if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
         return df

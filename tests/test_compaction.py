@@ -1,12 +1,11 @@
 import json
-import os
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
 from dapple.operators import copies
-from dapple.operators.compaction import FirstFit, compact, csv_records, file_records, first_fit_decreasing, json_records
+from dapple.operators.compaction import FirstFit, compact, csv_records, file_records, first_fit_decreasing, json_records, read_committed
 
 SCHEMA = "file_id bigint, file_path string, kind string, n_bytes bigint, body string, key string, bin string"
 F = "m/C/job/p1/frequency/"
@@ -31,11 +30,11 @@ def test_records_and_copies(spark, tmp_path):
     assert {tuple(r) for r in got.dropped.collect()} == {(1, 3), (2, 1), (8, 1), (9, 1), (10, 1)}
     out = spark.read.parquet(got.path)
     records = file_records(df).count()
-    assert out.count() == records - 5
+    assert out.count() == records - 5 and read_committed(spark, f"file://{tmp_path}/out").count() == records - 5
     assert {(r.file_id, r.record_no) for r in out.collect()} == {(1, 1), (1, 2), (2, 2), (3, 1), (7, 1), (8, 2), (8, 3), (9, 2), (10, 2)}
     bins = got.bins.collect()
     assert sum(b.records for b in bins) == out.count() and sum(b.files for b in bins) == len(FILES)
-    assert not os.path.exists(f"{tmp_path}/out.staging")
+    assert sum(b.broken for b in bins) == 5  # a short row, cut lines and lists, another kind, no JSON
     with pytest.raises(RuntimeError):
         compact(df, f"file://{tmp_path}/out", target_bytes=100)
     assert spark.read.parquet(got.path).count() == records - 5
@@ -50,8 +49,23 @@ def test_hot_record_and_empty(spark, tmp_path, monkeypatch):
 
 
 def test_readers():
-    assert [r["label"] for r in csv_records('"label","count"\n"a","1"\n"count","label"\n"2","b"\n"c"\n')] == ["a", "b"]
-    assert list(json_records("")) == [] and list(json_records("[1, {}, null]")) == [{}] and list(json_records("[{}")) == [{}]
+    assert [r and r["label"] for r in csv_records('"label","count"\n"a","1"\n"count","label"\n"2","b"\n"c"\n')] == ["a", "b", None]
+    assert list(json_records("[1, {}, null]")) == [None, {}, None] and list(json_records("[{}")) == [{}, None]
+    assert list(csv_records('a,b\n"two\nlines",2\n')) == [{"a": "two\nlines", "b": "2"}]
+
+
+def test_only_newlines_part_records(spark, tmp_path):
+    odd = "".join(map(chr, (0x2028, 0x85, 0x2029, 0x1C, 0x1D, 0x1E)))
+    body = json.dumps({"a": odd + "x"}, ensure_ascii=False).replace("\\u001c", chr(0x2028)) + "\n" + json.dumps({"b": 1})
+    rows = [(1, "p", "audit", None, body), (2, F + "q.csv", "frequencies", None, f'cohort,dimension,label,count\no,i,"two\nlines{odd}",1\r\no,i,y,2')]
+    got = compact(frame(spark, rows), f"file://{tmp_path}/out")
+    out = spark.read.parquet(got.path).collect()
+    assert sum(b.records for b in got.bins.collect()) == 4 and sum(b.broken for b in got.bins.collect()) == 0
+    assert {r.label for r in out if r.kind == "frequencies"} == {f"two\nlines{odd}", "y"}
+
+
+def test_files_listed_twice_count_once(spark, tmp_path):
+    assert spark.read.parquet(compact(frame(spark, [FILES[0], FILES[0], FILES[2]]), f"file://{tmp_path}/out").path).count() == 3
 
 
 @given(st.lists(st.integers(0, 120), min_size=1, max_size=80))
