@@ -75,6 +75,33 @@ numbered AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY ln
 document AS (SELECT file_id, record_no, string_agg(n.fullkey || ' ' || n.type || ' ' || coalesce(n.atom->>'$', ''), chr(30) ORDER BY n.fullkey) AS key FROM numbered, json_tree(numbered.j) n GROUP BY ALL),
 every AS (SELECT 'f' AS kind, * FROM frequency UNION ALL SELECT 'a', * FROM document)
 SELECT file_id, CAST(record_no AS INTEGER) AS record_no FROM every QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY file_id, record_no) > 1""",
+    "p7_found": r"""WITH RECURSIVE once AS (SELECT * FROM drift_files WHERE stream IS NOT NULL AND file_seq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY stream, file_seq ORDER BY file_id) = 1),
+files AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY file_seq) AS idx FROM once),
+line AS (SELECT stream, idx, kind, generate_subscripts(string_split(body, chr(10)), 1) AS ln, unnest(string_split(body, chr(10))) AS x FROM files),
+rec AS (SELECT stream, idx, kind, ln, CAST(x AS JSON) AS j FROM line WHERE CASE WHEN json_valid(x) THEN json_type(x) = 'OBJECT' ELSE false END),
+ids AS (SELECT stream, idx, ln, coalesce(j->>'$.image_id', j->>'$.report_id') AS rid FROM rec WHERE coalesce(j->>'$.image_id', j->>'$.report_id') IS NOT NULL QUALIFY row_number() OVER (PARTITION BY stream, idx, rid ORDER BY ln DESC) = 1),
+node AS (SELECT stream, idx, kind, ln, 0 AS el, 0 AS depth, '' AS path, j AS v FROM rec
+  UNION ALL SELECT stream, idx, kind, ln, el, depth, 'groups', v FROM (SELECT stream, idx, '' AS kind, ln, generate_subscripts(json_extract(j, '$.groups[*]'), 1) AS el, 0 AS depth, unnest(json_extract(j, '$.groups[*]')) AS v FROM rec WHERE json_type(j->'groups') = 'ARRAY') WHERE json_type(v) = 'OBJECT'
+  UNION ALL SELECT stream, idx, kind, ln, el, depth + 1, CASE WHEN path = '' THEN k ELSE path || '.' || k END, json_extract(v, '$."' || k || '"')
+  FROM (SELECT *, unnest(json_keys(v)) AS k FROM node WHERE json_type(v) = 'OBJECT' AND NOT (kind = 'summary_report' AND depth = 3 AND starts_with(path, 'attributes.')))),
+leaf AS (SELECT stream, idx, ln, el, path AS field, v, CASE json_type(v) WHEN 'BOOLEAN' THEN 1 WHEN 'BIGINT' THEN 2 WHEN 'UBIGINT' THEN 2 WHEN 'HUGEINT' THEN 2 WHEN 'DOUBLE' THEN 3 WHEN 'VARCHAR' THEN 4 WHEN 'OBJECT' THEN 7
+    ELSE CASE WHEN len(list_filter(json_extract(v, '$[*]'), lambda x: json_type(x) = 'OBJECT')) > 0 THEN 6 WHEN json_array_length(v) > 0 THEN 5 END END AS type
+  FROM node WHERE path <> '' AND json_type(v) <> 'NULL' AND NOT (json_type(v) = 'OBJECT' AND NOT (kind = 'summary_report' AND depth = 3 AND starts_with(path, 'attributes.'))) AND NOT (path = 'groups' AND json_type(v) = 'ARRAY')),
+has AS (SELECT stream, idx, field, coalesce(max(type), 5) AS type FROM leaf GROUP BY ALL),
+added AS (SELECT n.stream, n.idx, n.field FROM has n LEFT JOIN has o ON o.stream = n.stream AND o.idx = n.idx - 1 AND o.field = n.field WHERE o.field IS NULL AND n.idx > 1),
+removed AS (SELECT o.stream, o.idx + 1 AS idx, o.field FROM has o JOIN files f ON f.stream = o.stream AND f.idx = o.idx + 1 LEFT JOIN has n ON o.stream = n.stream AND o.idx = n.idx - 1 AND o.field = n.field WHERE n.field IS NULL),
+retyped AS (SELECT n.stream, n.idx, n.field FROM has n JOIN has o ON o.stream = n.stream AND o.idx = n.idx - 1 AND o.field = n.field WHERE o.type <> n.type),
+cell AS (SELECT l.stream, l.idx, i.rid, l.field, string_agg(el || '=' || CASE WHEN json_type(v) = 'OBJECT' THEN list_sort(list_transform(json_keys(v), lambda k: k || ':' || json_extract(v, '$."' || k || '"')::VARCHAR))::VARCHAR ELSE v::VARCHAR END, chr(30) ORDER BY el) AS v FROM leaf l JOIN ids i USING (stream, idx, ln) GROUP BY ALL),
+shared AS (SELECT n.stream, n.idx, n.rid FROM ids n JOIN ids o ON o.stream = n.stream AND o.idx = n.idx - 1 AND o.rid = n.rid),
+pair AS (SELECT a.stream, a.idx, r.field AS old_field, a.field AS new_field, s.rid FROM added a JOIN removed r USING (stream, idx) JOIN shared s USING (stream, idx)),
+same AS (SELECT p.stream, p.idx, old_field, new_field FROM pair p LEFT JOIN cell o ON o.stream = p.stream AND o.idx = p.idx - 1 AND o.rid = p.rid AND o.field = old_field LEFT JOIN cell n ON n.stream = p.stream AND n.idx = p.idx AND n.rid = p.rid AND n.field = new_field
+  GROUP BY ALL HAVING bool_and(o.v IS NOT DISTINCT FROM n.v) AND count(n.v) > 0),
+renamed AS (SELECT * FROM same QUALIFY dense_rank() OVER (PARTITION BY stream, idx, new_field ORDER BY old_field) = dense_rank() OVER (PARTITION BY stream, idx, old_field ORDER BY new_field)),
+change AS (SELECT stream, idx, 'renamed' AS change, old_field AS field, new_field FROM renamed
+  UNION ALL SELECT stream, idx, 'type_changed', field, '' FROM retyped
+  UNION ALL SELECT stream, idx, 'added', field, '' FROM added a WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.stream = a.stream AND r.idx = a.idx AND r.new_field = a.field)
+  UNION ALL SELECT stream, idx, 'removed', field, '' FROM removed a WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.stream = a.stream AND r.idx = a.idx AND r.old_field = a.field))
+SELECT stream, file_seq, change, field, new_field FROM change JOIN files USING (stream, idx)""",
     "p6_found": _PERSONS + f""", garment AS (SELECT * FROM (SELECT record_id, no, unnest(l) AS g, generate_subscripts(l, 1) AS piece FROM (SELECT record_id, no, {_objects("(p->'clothing')")} AS l FROM person)) WHERE json_type(g) = 'OBJECT'),
 rows AS (SELECT record_id, 'person' AS child, no AS person_no, 0 AS clothing_no, no AS pos, coalesce(p->>'person_id', '') AS value FROM person
 UNION ALL SELECT record_id, 'clothing', no, piece, piece, coalesce(g->>'clothing_garment', '') FROM garment
