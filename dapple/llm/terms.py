@@ -1,9 +1,11 @@
 """How often every term occurs and in how many records, by last-seen counters.
 
-Tokens are hash-partitioned by term and sorted by term and record. A term's state is its occurrences, its records and
-the last record it was seen in; no set of records is kept. Equal texts are counted once before the shuffle, with
-their number of rows and their weight, and a term's tokens are spread over salts, so that neither a text nor a term
-that a third of all rows hold fills a task.
+A term's state is its occurrences, its records and the last record it was seen in; no set of records is kept. Where
+each row is a record, a partition's tokens are sorted by term and row and counted in their place; only counters are
+hash-partitioned by term and added up, so a term that a third of all rows hold sends one counter a partition, and no
+text is shuffled. Where records are told by a column, their rows may lie anywhere: tokens are hash-partitioned by term
+and a salt that follows from the record, sorted by term and record, and counted there. Nothing depends on where or how
+often a task runs.
 """
 
 from __future__ import annotations
@@ -55,16 +57,17 @@ def term_frequencies(df: DataFrame, text: str, weight: str | None = None, record
     with the same value, wherever they stand, are one record, and null is a record too. Null and blank texts hold
     no terms; an empty table gives no rows; further columns are never read.
     """
-    w = F.coalesce(F.col(weight).cast("bigint"), F.lit(0)) if weight else F.lit(1)
+    w = F.coalesce(F.col(weight).cast("bigint"), F.lit(0)) if weight else F.lit(1).cast("bigint")
     rows = df.where(F.col(text).isNotNull())
-    if record is None:  # equal texts have equal terms: one weighted record for all of them
-        texts = rows.select(F.col(text).alias("text"), w.alias("o")).groupBy("text").agg(F.count(F.lit(1)).alias("w"), F.sum("o").alias("o"))
-        texts = texts.withColumn("record", F.monotonically_increasing_id())
+    terms = F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))
+    if record is None:  # a row lies in one partition, where its number tells it from others
+        texts = rows.select(F.col(text).alias("text"), w.alias("o"), F.monotonically_increasing_id().alias("record"))
+        tokens = texts.select("record", F.lit(1).cast("bigint").alias("w"), "o", F.explode(terms).alias("term"))
     else:
-        texts = rows.select(F.col(text).alias("text"), w.alias("o"), F.lit(1).cast("bigint").alias("w"), F.xxhash64(F.col(record), F.col(record).isNull()).alias("record"))
-    tokens = texts.select("record", "w", "o", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("term"))
-    tokens = tokens.withColumn("salt", F.pmod("record", F.lit(SALTS)).cast("int"))
-    parts = tokens.repartition("term", "salt").sortWithinPartitions("term", "record").select("term", "record", "w", "o").mapInArrow(_last_seen, _PART)
+        texts = rows.select(F.col(text).alias("text"), w.alias("o"), F.xxhash64(F.col(record), F.col(record).isNull()).alias("record"))
+        tokens = texts.select("record", F.lit(1).cast("bigint").alias("w"), "o", F.explode(terms).alias("term"))
+        tokens = tokens.repartition("term", F.pmod("record", F.lit(SALTS)))
+    parts = tokens.sortWithinPartitions("term", "record").select("term", "record", "w", "o").mapInArrow(_last_seen, _PART)
     return parts.groupBy("term").agg(F.sum("rows").alias("rows"), F.sum("occurrences").alias("occurrences"))
 
 

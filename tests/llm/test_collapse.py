@@ -1,7 +1,9 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from dapple.llm import collapse
 from dapple.llm.collapse import FormattingCopies
@@ -59,16 +61,27 @@ def test_empty(spark):
     assert c.links().collect() == [] and c.records().collect() == []
 
 
+def test_more_repeats_than_the_filter_holds(spark):
+    rows = [(i, "a", "d", f"l{i // 2}", None, None) for i in range(400)]
+    c = FormattingCopies(spark.createDataFrame(rows, SCHEMA).repartition(4), "raw_id", ["s"], ["dimension", "label"], most_bits=1 << 6)
+    assert {tuple(r) for r in c.links().collect()} == brute(rows)
+    assert sum(r.copies for r in c.records().collect()) == 400
+
+
 def test_filter_never_misses():
     rng = np.random.default_rng(0)
-    m, size = 1 << 12, 1 << 12
     parts = [rng.integers(-(2**62), 2**62, 300) for _ in range(3)]
     parts[1][:50], parts[2][:20] = parts[0][:50], parts[2][20:40]
-    import pyarrow as pa
-
-    built = [b for p in parts for b in collapse._build(iter([pa.RecordBatch.from_pydict({"h": p})]), m)]
-    again = next(collapse._merge(iter(built), m))
-    bits = np.unpackbits(np.frombuffer(again.column("again")[0].as_py(), np.uint8), bitorder="little")[:size]
-    repeated = np.r_[parts[0][:50], parts[2][:20]]
-    assert bits[collapse._bits(repeated, m).astype(int)].all()
-    assert not bits.all()
+    for shards in (1, 4):
+        sent = pa.Table.from_batches([b for p in parts for b in collapse._sent(iter([pa.RecordBatch.from_pydict({"h": p})]), shards)]).sort_by("shard")
+        found = np.concatenate([b.column("hash").to_numpy() for b in collapse._repeats(iter(sent.to_batches(max_chunksize=97)), 1 << 12)])
+        assert set(np.r_[parts[0][:50], parts[2][:20]]) <= set(found) and len(found) == len(set(found)) < 300
+
+
+def test_few_unique_rows_are_moved(spark, monkeypatch):
+    """With 16 bits a row in shards the rows that are shuffled stay few however many rows there are."""
+    monkeypatch.setattr(collapse, "SHARD_ROWS", 1 << 12)
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("hash"))
+    repeats = collapse.possible_repeats(rows, "hash", 200_000)
+    tested = collapse.with_possible_repeat(rows, "hash", repeats, "maybe", 1 << 19)
+    assert tested.where("maybe").count() < 0.05 * 200_000
