@@ -121,7 +121,62 @@ WITH part AS (SELECT raw_id, sweep_id, source_file, cohort, count, unnest([dimen
 _TOKENS = r"""
 WITH doc AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')), 0) AS BIGINT) AS tokens FROM documents)
 """
+# p5 by brute force: every string of a value is compared with every reference string, without segments.
+_NOTHING = ("", "other", "misc", "tbd", "na", "none", "null", "nan", "unknown", "unsure", "notsure", "canttell", "cantell", "unclear", "various", "todo", "notvisible", "nothing", "test", "dontknow", "noidea", "seenotes", "same", "sameasabove")
+
+
+def _sql_words(x: str) -> str:
+    return f"""replace(replace(trim(regexp_replace(regexp_replace({x}, '[''’`]', '', 'g'), '[^\\pL\\pN@$]+', ' ', 'g')), 'grey', 'gray'), 'colour', 'color')"""
+
+
+def _sql_compact(x: str) -> str:
+    return f"translate(replace({x}, ' ', ''), '013457@$', 'oieastas')"
+
+
+def _sql_stripped(x: str) -> str:
+    x = f"replace({x}, '_', ' ')"
+    for pattern in (r"\([^)]*\)?\s*$", r"[\s,;-]+(probably|maybe|perhaps|possibly|i think|likely|left side|right side|partly hidden|partially hidden|in part)\W*$", r"[\s,-]+x\s*\d+\W*$", r"^\W*\d+\s*x[\s-]+", r"^\W*(a|an|the|some|one|any)[\s-]+"):
+        x = f"regexp_replace({x}, '{pattern}', '', 'g')"
+    return x
+
+
+def _sql_matches(p: str, wanted: str, refs: str, loose: bool) -> str:
+    """CTEs that end in ``{p}match`` (value, scope, id)."""
+    k, low = "least(4, greatest(1, length(ref) // 3), length(ref) - 1)", "lower(value)"
+    first = "QUALIFY row_number() OVER (PARTITION BY w.value, w.scope ORDER BY cost, id) = 1"
+    letters = lambda x: f"list_sort(string_split({x}, ''))"
+    word = f"UNION ALL SELECT value, id, scope, 60 + rank FROM {p}open JOIN {p}ref ON NOT contains({p}open.words, ' ') AND list_contains(string_split({p}ref.words, ' '), {p}open.words)" if loose else ""
+    return f"""{p}ref AS (SELECT DISTINCT id, scope, words, {_sql_compact("words")} AS ref FROM {refs} WHERE words <> ''),
+{p}wanted AS (SELECT DISTINCT value, scope FROM {wanted} WHERE value IS NOT NULL),
+{p}form AS (SELECT value, words, min(rank) AS rank FROM (SELECT DISTINCT value, {_sql_words(low)} AS words, 0 AS rank FROM {p}wanted UNION ALL SELECT DISTINCT value, {_sql_words(_sql_stripped(low))}, 1 FROM {p}wanted) WHERE words <> '' GROUP BY ALL),
+{p}rotated AS (SELECT value, min(rank) AS rank, form FROM (SELECT value, rank + CASE WHEN shift = 0 THEN 0 ELSE 2 END AS rank, {_sql_compact("array_to_string(CASE WHEN shift < 0 THEN list_reverse(w) ELSE w[shift + 1:] || w[1:shift] END, '')")} AS form
+  FROM (SELECT *, unnest(CASE WHEN len(w) >= 2 THEN range(-1, len(w)) ELSE [0] END) AS shift FROM (SELECT *, string_split(words, ' ') AS w FROM {p}form))) WHERE form <> '' GROUP BY value, form),
+{p}equal AS (SELECT value, id, scope, rank FROM {p}rotated JOIN {p}ref ON form = ref),
+{p}done AS (SELECT w.value, w.scope, id, rank AS cost FROM {p}equal e JOIN {p}wanted w ON w.value = e.value AND (w.scope IS NULL OR w.scope = e.scope) {first}),
+{p}rest AS (SELECT * FROM {p}wanted w WHERE NOT EXISTS (SELECT 1 FROM {p}done d WHERE d.value = w.value AND d.scope IS NOT DISTINCT FROM w.scope) AND value NOT IN (SELECT value FROM {p}equal WHERE rank < 2) AND value NOT IN (SELECT value FROM {p}rotated WHERE form IN {_NOTHING})),
+{p}open AS (SELECT * FROM {p}form WHERE value IN (SELECT value FROM {p}rest)),
+{p}close AS (SELECT value, id, scope, 10 * levenshtein(form, ref) + rank AS cost FROM {p}rotated JOIN {p}ref ON abs(length(form) - length(ref)) <= 4 WHERE value IN (SELECT value FROM {p}rest) AND levenshtein(form, ref) <= {k} + CASE WHEN {letters("form")} = {letters("ref")} THEN 1 ELSE 0 END
+  UNION ALL SELECT value, id, scope, CASE WHEN rtrim(value, ' ') LIKE '%.' THEN 5 ELSE 35 END + rank FROM {p}open JOIN {p}ref ON starts_with(ref, {_sql_compact(f"{p}open.words")}) AND length({_sql_compact(f"{p}open.words")}) BETWEEN 3 AND length(ref) - 1
+  UNION ALL SELECT value, id, scope, 50 + 10.0 / length(replace({p}ref.words, ' ', '')) + rank FROM {p}open JOIN {p}ref ON contains(' ' || {p}open.words || ' ', ' ' || {p}ref.words || ' ') AND {p}open.words <> {p}ref.words
+  {word}),
+{p}match AS (SELECT value, scope, id FROM {p}done UNION ALL SELECT value, scope, id FROM (SELECT w.value, w.scope, e.id, e.cost FROM {p}close e JOIN {p}rest w ON w.value = e.value AND (w.scope IS NULL OR w.scope = e.scope) {first}))"""
+
+
+_MAPPED = f"""
+WITH known AS (SELECT DISTINCT canonical_id, dimension, label, canonical_label FROM canonical_map WHERE canonical_id IS NOT NULL AND label IS NOT NULL AND dimension IS NOT NULL),
+pairs AS (SELECT DISTINCT dimension, label FROM label_entries WHERE trim(label) <> ''),
+dims AS (SELECT dimension AS id, NULL::VARCHAR AS scope, {_sql_words("lower(dimension)")} AS words FROM known GROUP BY dimension),
+typed_dims AS (SELECT dimension AS value, NULL::VARCHAR AS scope FROM pairs), {_sql_matches("d_", "typed_dims", "dims", True)},
+scoped AS (SELECT p.dimension, p.label, d.id AS scope FROM pairs p LEFT JOIN d_match d ON p.dimension = d.value WHERE p.dimension IS NULL OR d.id IS NOT NULL),
+labels AS (SELECT canonical_id AS id, dimension AS scope, {_sql_words("lower(label)")} AS words FROM known),
+typed_labels AS (SELECT label AS value, scope FROM scoped), {_sql_matches("l_", "typed_labels", "labels", False)},
+meant AS (SELECT s.dimension, s.label, m.id FROM scoped s JOIN l_match m ON s.label = m.value AND s.scope IS NOT DISTINCT FROM m.scope),
+listed AS (SELECT dimension, label, min(canonical_id) AS id FROM known GROUP BY ALL), named AS (SELECT canonical_id, min(canonical_label) AS canonical_label FROM known GROUP BY ALL),
+mapped AS (SELECT e.entry_id, e.dimension, e.label, coalesce(l.id, m.id, 0) AS canonical_id, l.id IS NOT NULL AS listed FROM label_entries e LEFT JOIN meant m ON e.label = m.label AND e.dimension IS NOT DISTINCT FROM m.dimension LEFT JOIN listed l ON e.label = l.label AND e.dimension = l.dimension)
+"""
 SQL = {
+    "p5_found": _MAPPED + "SELECT entry_id, canonical_id FROM mapped WHERE trim(label) <> '' AND NOT listed",
+    "p5_mapped": _MAPPED + "SELECT entry_id, dimension, label, canonical_id, canonical_label, listed FROM mapped LEFT JOIN named USING (canonical_id)",
     "p1_found": """
 WITH once AS (SELECT sweep_id, source_file, dimension, count, label, min(row_id) AS row_id FROM role_rollup
               WHERE dimension IS NOT NULL AND label IS NOT NULL AND count IS NOT NULL
