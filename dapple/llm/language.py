@@ -6,6 +6,11 @@ a weight for each landmark and language. Scores of a batch are its presence matr
 matrix times these weights; the last two are multiplied once, so that a batch takes one product over the n-grams it
 holds. Texts are cut at sentences, the path of least cost through the sentences' scores gives the stretches.
 
+Texts of any length are scored by the kernel, a text without a sentence as a whole. A score is about 1 for the text's language
+and -1 for others; where the best is not above REFUSE_SCORE and less than REFUSE_MARGIN above the next, no language is named: a text
+of codes and numbers, or in a language that wasn't learned, comes out as ``und``. The confidence is the softmax of the scores
+at a temperature that fits sentences held out of the fit, so it falls with short and doubtful texts.
+
 The classifier is fitted on a bounded sample of labelled rows (SAMPLE_DOCS a language, SENTENCES of each); labels may be wrong in part:
 the fit is repeated without the sentences that it contradicts.
 """
@@ -47,6 +52,8 @@ RIDGE = 1e-3
 MIN_WORDS = 4  # shorter units are tags, labels or single words: no evidence of their own
 WINDOW_WORDS = 12
 SWITCH = 0.6
+REFUSE_SCORE, REFUSE_MARGIN = 0.1, 0.4
+TEMPERATURES = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0)
 BATCH_CHARS = 400_000
 
 _MARKUP = re.compile(r"<[^<>]{1,300}>")
@@ -54,8 +61,7 @@ _TAG = re.compile(r"[\[(]\s*\w+\s*[:=/][^\[\]()]*[\])]|(?<!\w)[#@]\w+")
 _PAIR = re.compile(r"\w+=\w+")
 _BREAK = re.compile(r"[.!?…\r\n][.!?…\"»”’')\]\r\n\t ]*(?<=\s)|(?<=\s)(?:[|•·*/–—]|--+)\s")
 _WORD = re.compile(r"\b[^\W\d_]{2,}\b")
-_HEX = re.compile(r"[a-f]{6}")
-_OTHER = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"\b[^\W\d_]+\b")  # a letter run in a code (4f2be1, a_b) is no word
 
 
 def named_language(lang: Column) -> Column:
@@ -88,12 +94,13 @@ def units(text: str) -> list[str]:
 
 
 def word_count(unit: str) -> int:
-    words = _WORD.findall(unit)
-    return len(words) if len(words) > MIN_WORDS else sum(1 for w in words if not _HEX.fullmatch(w.lower()))
+    return len(_WORD.findall(unit))
 
 
 def normal(unit: str) -> str:
-    return " " + " ".join(_OTHER.findall(unit.lower())) + " "
+    """The words in lower case between single spaces; empty without words."""
+    words = _LETTERS.findall(unit.lower())
+    return " " + " ".join(words) + " " if words else ""
 
 
 def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +145,7 @@ class LanguageModel:
     codes: tuple[str, ...]
     grams: np.ndarray  # sorted n-gram hashes of the landmarks
     weights: np.ndarray  # n-gram x language: landmarks' presence times their weights
+    temperature: float = 3.0  # of the confidence
 
     def __post_init__(self):
         self.row = np.full(1 << HASH_BITS, -1, np.int32)  # by n-gram hash
@@ -145,15 +153,21 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[str], rounds: int = 2, landmarks_each: int = LANDMARKS_EACH) -> LanguageModel:
-        """Fit on sentences with labels, some of which may be wrong. Each language needs a sentence."""
+        """Fit on sentences with labels, some of which may be wrong. Each language needs a sentence.
+
+        The first round takes every other sentence of a language; the ones left out tell the temperature, and all that
+        it contradicts are left out of the next."""
         codes = tuple(sorted(set(labels)))
         if not codes:
             raise ValueError("no labelled sentences to fit on")
         all_texts, y = [normal(t) for t in texts], np.array([codes.index(x) for x in labels])
         pairs = presence(all_texts)
-        keep = np.ones(len(y), bool)
-        model = None
-        for _ in range(rounds):
+        order = np.empty(len(y), np.int64)  # number of a sentence within its language
+        for c in range(len(codes)):
+            order[y == c] = np.arange((y == c).sum())
+        keep = order % 2 == 0
+        model, temperature = None, 3.0
+        for no in range(rounds):
             chosen = np.concatenate([np.flatnonzero(keep & (y == c))[:landmarks_each] for c in range(len(codes))])
             marks = presence([all_texts[i] for i in chosen])
             k = _kernel(pairs, len(y), marks, len(chosen))
@@ -162,13 +176,15 @@ class LanguageModel:
             knm = k[keep]
             left = knm.T @ knm + RIDGE * len(knm) * kmm + 1e-8 * np.eye(len(chosen))
             alpha = np.linalg.solve(left, knm.T @ target)
-            guess = (k @ alpha).argmax(axis=1)
-            keep_next = guess == y
+            scores = k @ alpha
+            keep_next = scores.argmax(axis=1) == y
+            if no == 0:
+                temperature = _temperature(scores[~keep], y[~keep])
             used, inverse = np.unique(marks[1], return_inverse=True)
             size = np.sqrt(np.maximum(np.bincount(marks[0], minlength=len(chosen)), 1))
             weights = np.zeros((len(used), len(codes)))
             np.add.at(weights, inverse, (alpha / size[:, None])[marks[0]])
-            model = cls(codes, used, weights.astype(np.float32))
+            model = cls(codes, used, weights.astype(np.float32), temperature)
             if all((keep_next & (y == c)).any() for c in range(len(codes))):
                 keep = keep_next
         return model
@@ -194,6 +210,30 @@ class LanguageModel:
         return out
 
 
+def softmax(scores: np.ndarray, temperature: float) -> np.ndarray:
+    e = np.exp(temperature * (scores - scores.max(axis=1, keepdims=True)))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _temperature(scores: np.ndarray, y: np.ndarray) -> float:
+    """The temperature at which labels are likeliest, without the labels that are clearly wrong."""
+    if not len(y):
+        return 3.0
+    own = scores[np.arange(len(y)), y]
+    sure = ~((own < -0.3) & (scores.max(axis=1) > 0.3))
+    if not sure.any():
+        return 3.0
+    loss = [-np.log(np.maximum(softmax(scores[sure], t)[np.arange(sure.sum()), y[sure]], 1e-12)).mean() for t in TEMPERATURES]
+    return TEMPERATURES[int(np.argmin(loss))]
+
+
+def refused(scores: np.ndarray) -> np.ndarray:
+    """Whether no language is to be named by scores (rows)."""
+    top = np.sort(scores, axis=1)
+    margin = top[:, -1] - (top[:, -2] if scores.shape[1] > 1 else -1.0)
+    return (top[:, -1] <= REFUSE_SCORE) & (margin < REFUSE_MARGIN)
+
+
 def _path(scores: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The language of each unit on the best path; each change costs SWITCH."""
     gain = scores * weight[:, None]
@@ -211,17 +251,17 @@ def _path(scores: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def stretches(texts: list[str], model: LanguageModel) -> Iterator[tuple[int, int, str, float, int]]:
-    """(text, seg_no, lang, confidence, units) of each stretch of each text; blank texts give none."""
+    """(text, seg_no, lang, confidence, units) of each stretch of each text; blank texts give none.
+
+    A stretch whose language can't be told joins the one before it, or the one behind; a text of only such is ``und``."""
     parts = [units(t) for t in texts]
     counts = [[word_count(u) for u in p] for p in parts]
     weight: list[np.ndarray] = []
     flat: list[str] = []
     for i, (p, c) in enumerate(zip(parts, counts, strict=True)):
-        if sum(c) < 2:
-            p = parts[i] = []
-        elif max(c) < MIN_WORDS:  # no sentence: the text as a whole
-            p = parts[i] = [" ".join(p)]
-            c = [MIN_WORDS]
+        if max(c, default=0) < MIN_WORDS:  # no sentence: the text as a whole
+            p = parts[i] = [" ".join(p)] if texts[i].strip() else []
+            c = [MIN_WORDS] * len(p)
         weight.append(np.array([1.0 if x >= MIN_WORDS else 0.0 for x in c]))
         flat += p
     scores, at = model.scores(flat), 0
@@ -236,8 +276,6 @@ def stretches(texts: list[str], model: LanguageModel) -> Iterator[tuple[int, int
     for i, p in enumerate(parts):
         n, w = len(p), weight[i]
         if not n:
-            if texts[i].strip():
-                yield i, 1, UNDETERMINED, 1.0, 0
             continue
         told = top[at : at + n][w > 0]
         if not len(told) or (told == told[0]).all():
@@ -251,12 +289,41 @@ def stretches(texts: list[str], model: LanguageModel) -> Iterator[tuple[int, int
                 segments.append((i, no, int(path[a]), int(b - a)))
                 means.append(summed(at + a, at + b, w[a:b]))
         at += n
-    if segments:
-        e = np.stack(means)
-        e = np.exp(3 * (e - e.max(axis=1, keepdims=True)))
-        share = e / e.sum(axis=1, keepdims=True)
-        for row, (i, no, lang, n) in zip(share, segments, strict=True):
-            yield i, no, model.codes[lang], float(row[lang]), n
+    if not segments:
+        return
+    mean = np.stack(means)
+    share, no_one = softmax(mean, model.temperature), refused(mean)
+    at = 0
+    while at < len(segments):
+        end = at + 1
+        while end < len(segments) and segments[end][0] == segments[at][0]:
+            end += 1
+        i = segments[at][0]
+        told = [j for j in range(at, end) if not no_one[j]]
+        if not told:
+            yield i, 1, UNDETERMINED, float(1 - share[at:end].max()), sum(segments[j][3] for j in range(at, end))
+        elif len(told) == end - at:
+            for j in told:
+                _, no, lang, n = segments[j]
+                yield i, no, model.codes[lang], float(share[j, lang]), n
+        else:
+            merged: list[list] = []  # language, least confidence, units
+            waiting = 0
+            for j in range(at, end):
+                _, _, lang, n = segments[j]
+                if no_one[j]:
+                    if merged:
+                        merged[-1][2] += n
+                    else:
+                        waiting += n
+                elif merged and merged[-1][0] == lang:
+                    merged[-1][1], merged[-1][2] = min(merged[-1][1], share[j, lang]), merged[-1][2] + n
+                else:
+                    merged.append([lang, share[j, lang], n + waiting])
+                    waiting = 0
+            for no, (lang, conf, n) in enumerate(merged, 1):
+                yield i, no, model.codes[lang], float(conf), n
+        at = end
 
 
 def fit_language_model(df: DataFrame, doc_id: str, text: str, lang: str, sample_docs: int = SAMPLE_DOCS, sentences: int = SENTENCES) -> LanguageModel:
@@ -278,7 +345,8 @@ def fit_language_model(df: DataFrame, doc_id: str, text: str, lang: str, sample_
 def document_languages(df: DataFrame, model: LanguageModel, doc_id: str, text: str) -> DataFrame:
     """``doc_id``, ``seg_no`` (from 1), ``lang``, ``confidence``, ``sentences``, ``segments``: each stretch of each text in one language.
 
-    Neighbouring stretches differ. A text without words is one stretch of ``und``; null and blank texts give no rows.
+    Neighbouring stretches differ. A text without words, or in no language that was learned, is one stretch of ``und``,
+    whose confidence is what is left of the likeliest language's; null and blank texts give no rows.
     Single words, tags and labels belong to the stretch around them. Repeated rows give repeated results.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)

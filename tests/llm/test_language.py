@@ -3,7 +3,7 @@ import os
 import numpy as np
 import pytest
 
-from dapple.llm.language import LanguageModel, document_languages, fit_language_model, label_errors, stretches, units
+from dapple.llm.language import LanguageModel, document_languages, fit_language_model, label_errors, refused, stretches, units
 
 SENTENCES = {
     "en": ["The old man walks slowly to the market every morning.", "She wrote a long letter to her brother in the city.", "There are no chairs in the room behind the kitchen.", "The weather was cold and the river was frozen.", "They did not know where the children had gone.", "Someone left the window open during the night."],
@@ -48,6 +48,35 @@ def test_documents_and_labels(spark, model):
     assert document_languages(df.limit(0), model, "doc_id", "text").collect() == []
 
 
+def test_short_texts_are_scored(model):
+    whole = {t: next(stretches([t], model)) for t in ("Bruder", "children", "the facade", "Der Fluss", "la nuit", "4f2be1 0.3", "[mood: calm]")}
+    assert {t: r[2] for t, r in whole.items()} == {"Bruder": "de", "children": "en", "the facade": "en", "Der Fluss": "de", "la nuit": "fr", "4f2be1 0.3": "und", "[mood: calm]": "und"}
+    assert whole["children"][3] < next(stretches([SENTENCES["en"][0] + " " + SENTENCES["en"][1]], model))[3]
+
+
+def test_an_unknown_language_is_refused(model):
+    for text in ("日本語のテキストです。これは言語です。今日は天気がいいですね。", "شكرا جزيلا لك يا صديقي العزيز", "今日は"):
+        assert [(no, lang) for _, no, lang, _, _ in stretches([text], model)] == [(1, "und")]
+    assert refused(np.array([[-0.1, -0.2], [-0.1, -0.6], [0.4, 0.3]])).tolist() == [True, False, False]
+    odd = SENTENCES["en"][0] + " 日本語のテキストです これは 言語 です 今日は 天気. " + SENTENCES["en"][1]
+    assert langs(model, odd) == [(1, "en")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_confidence_on_held_out_rows(spark):
+    """Texts of a confidence are right about as often as it says, and foreign sentences are refused."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    m = fit_language_model(docs.where("doc_id % 2 = 0"), "doc_id", "text", "lang")
+    held = docs.where("doc_id % 2 = 1 AND lang IN ('en', 'de', 'fr', 'es', 'it', 'pt', 'nl', 'pl', 'ru')").select("doc_id", "text", "lang").toPandas()
+    short = [" ".join(t.split()[:3]) for t in held["text"].fillna("")]
+    for texts, least in ((held["text"].fillna("").tolist(), 0.9), (short, 0.5)):
+        got = [(lang, conf, held["lang"][i]) for i, no, lang, conf, n in stretches(texts, m) if no == 1 and lang != "und"]
+        right, mean = np.mean([a == b for a, _, b in got]), np.mean([c for _, c, _ in got])
+        assert right > least and abs(right - mean) < 0.15
+    swedish = "Huset ligger vid en sjö och barnen leker på gården hela dagen."
+    assert langs(m, swedish) == [(1, "und")] and langs(m, "Tämä on suomenkielinen lause joka kertoo säästä.") == [(1, "und")]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
