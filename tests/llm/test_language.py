@@ -49,9 +49,9 @@ def test_documents_and_labels(spark, model):
 
 
 def test_short_texts_are_scored(model):
-    whole = {t: next(stretches([t], model)) for t in ("Bruder", "children", "the facade", "Der Fluss", "la nuit", "4f2be1 0.3", "[mood: calm]")}
-    assert {t: r[2] for t, r in whole.items()} == {"Bruder": "de", "children": "en", "the facade": "en", "Der Fluss": "de", "la nuit": "fr", "4f2be1 0.3": "und", "[mood: calm]": "und"}
-    assert whole["children"][3] < next(stretches([SENTENCES["en"][0] + " " + SENTENCES["en"][1]], model))[3]
+    whole = {t: next(stretches([t], model)) for t in ("Bruder", "the children", "the facade", "Der Fluss", "la nuit", "4f2be1 0.3", "[mood: calm]")}
+    assert {t: r[2] for t, r in whole.items()} == {"Bruder": "de", "the children": "en", "the facade": "en", "Der Fluss": "de", "la nuit": "fr", "4f2be1 0.3": "und", "[mood: calm]": "und"}
+    assert whole["the children"][3] < next(stretches([SENTENCES["en"][0] + " " + SENTENCES["en"][1]], model))[3]
 
 
 def test_an_unknown_language_is_refused(model):
