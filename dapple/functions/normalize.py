@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dapple.functions.stats import half_even
+
 #: Context names and their short forms.
 CONTEXTS = {
     "CF": ("Context-free_CF", "CF", "Context_Free_CF"),
@@ -149,12 +152,13 @@ def file_name(x: Column) -> Column:
     return F.when(s == "", F.lit("role")).otherwise(s)
 
 
-#: Names of dimensions after ``demographics``, ``appearance`` and so on; the part after the group may be joined by ``.`` or ``_``.
-_GROUPED = (
-    ("demographics", ("gender_presentation", "age_range", "role_hint", "skin_tone")),
-    ("appearance", ("eyewear_frame_color", "eyewear_present", "eyewear_type", "facial_hair_color", "facial_hair_present", "facial_hair_style", "hair_color", "hair_present", "hair_style", "head_covering_present", "head_covering_color", "head_covering_type")),
-)
-_KEYS = {f"{group}_{name}": name for group, names in _GROUPED for name in names} | {
+#: Normal names of dimension paths. Points and other signs of a path are underscores by then.
+_KEYS = {
+    "demographics_gender_presentation": "gender_presentation", "demographics_age_range": "age_range", "demographics_role_hint": "role_hint", "demographics_skin_tone": "skin_tone",
+    "appearance_eyewear_frame_color": "eyewear_frame_color", "appearance_eyewear_present": "eyewear_present", "appearance_eyewear_type": "eyewear_type",
+    "appearance_facial_hair_color": "facial_hair_color", "appearance_facial_hair_present": "facial_hair_present", "appearance_facial_hair_style": "facial_hair_style",
+    "appearance_hair_color": "hair_color", "appearance_hair_present": "hair_present", "appearance_hair_style": "hair_style",
+    "appearance_head_covering_present": "head_covering_present", "appearance_head_covering_color": "head_covering_color", "appearance_head_covering_type": "head_covering_type",
     "appearance_facial_hair_presence": "facial_hair_present", "clothing_by_garment_type": "clothing_garment", "clothing_garment_type": "clothing_garment",
     "clothing_type_item": "clothing_item", "clothingtypeitem": "clothing_item", "emotion_feeling": "emotional_state", "emotionfeeling": "emotional_state",
 }
@@ -269,6 +273,61 @@ def plane_side(x: Column) -> tuple[Column, Column]:
     return F.when(ok, plane), F.when(ok, side)
 
 
+def digits(x: Column, n: int) -> Column:
+    """A number with n digits after the point, rounded half to even."""
+    return F.format_string(f"%.{n}f", half_even(x, n))
+
+
 def percent_p(p: Column) -> Column:
     """p with two digits and without the leading 0; ``.00`` below 0.005, '' for null."""
-    return F.when(p.isNull(), "").when(p < 0.005, ".00").otherwise(F.regexp_replace(F.format_string("%.2f", p), "^0", ""))
+    return F.when(p.isNull(), "").when(p < 0.005, ".00").otherwise(F.regexp_replace(digits(p, 2), "^0", ""))
+
+
+def robustness_cell(share: Column, mean_p: Column) -> Column:
+    """Share invariant and mean p as in ``93.3/.72``; ``nan`` for null."""
+    return F.concat(F.coalesce(digits(share, 1), F.lit("nan")), F.lit("/"), F.coalesce(F.regexp_replace(digits(mean_p, 2), "^0", ""), F.lit("nan")))
+
+
+def prevalence_cell(share: Column) -> Column:
+    """A share with one digit; '' for null."""
+    return F.when(share.isNull(), "").otherwise(digits(share, 1))
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Characters of the basic plane that decompose into one character and accents, and that character."""
+    pairs = []
+    for code in range(0xA0, 0x10000):
+        if not 0xD800 <= code < 0xE000:
+            plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+            if len(plain) == 1 and plain != chr(code):
+                pairs.append((chr(code), plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _UNACCENTED = _plain_letters()
+#: Words that carry no meaning of their own.
+STOPWORDS = "a an and the of for to in on at from with this that is are was were be been as it its their his her your our"
+
+
+def strip_accents(x: Column) -> Column:
+    """Letters without their accents. Characters that decompose into several, such as ligatures, stay."""
+    return F.regexp_replace(F.translate(x, _ACCENTED, _UNACCENTED), r"\pM+", "")
+
+
+def basic_clean(x: Column) -> Column:
+    """Lower case without accents; anything but letters, digits and white space as one space."""
+    return F.trim(F.regexp_replace(F.lower(strip_accents(F.coalesce(x, F.lit("")))), r"[^\pL\pN]+", " "))
+
+
+def snake(x: Column) -> Column:
+    return F.replace(basic_clean(x), F.lit(" "), F.lit("_"))
+
+
+def lemmas(x: Column) -> Column:
+    """Words without a plural s, without stop words; stands in for a lemmatiser, which may be given in its place."""
+    words = F.filter(F.split(basic_clean(x), " "), lambda w: (w != "") & ~w.isin(*STOPWORDS.split()))
+    return F.transform(words, lambda w: F.when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), F.substring(w, 1, F.length(w) - 1)).otherwise(w))
+
+
+def norm_text(x: Column) -> Column:
+    return F.array_join(lemmas(x), " ")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,29 +13,54 @@ from dapple.functions.stats import half_even, wilson
 
 COLLAPSE_SHARE = 0.05
 WILSON_BELOW = 30
-#: What a (cohort, dimension) is called among the general attributes; * stands for any other cohort.
+#: The general attributes in their order.
+GENERAL_ORDER = (
+    "Mood", "LightingColorTemperature", "AtmosphereContrastLevel", "SaturationLevel", "DominantPalette", "AestheticQualities", "IndoorOutdoor", "Weather",
+    "TimeOfDayHint", "Perspective", "Framing", "FocalLength", "DepthOfField", "CameraAngle", "Directionality", "Hardness", "Shadows", "SourcesCount",
+    "SourcesType", "GenderPresentation", "SkinTone", "AgeRange", "GazeDirection", "OrientationType", "FaceEmotion", "Hairstyle", "HairColor",
+    "OcclusionState", "eyewear_present", "head_covering_present", "facial_hair_present", "safety_gear_present", "visible_text_present",
+    "vehicle_present", "animal_present", "tool_present", "multiple_people_present", "hair_present",
+)
+#: What a (cohort, dimension) is called among the general attributes. The attribute's cohort is the same one;
+#: ``*`` stands for any other cohort, and counts as ``people``.
 GENERAL = {
     ("atmosphere", "mood"): "Mood", ("atmosphere", "mood_distribution"): "Mood",
-    ("atmosphere", "color_temperature"): "LightingColorTemperature", ("lighting", "color_temperature"): "LightingColorTemperature",
-    ("atmosphere", "contrast_level"): "AtmosphereContrastLevel", ("lighting", "contrast_level"): "AtmosphereContrastLevel",
-    ("atmosphere", "saturation_level"): "SaturationLevel", ("lighting", "saturation_level"): "SaturationLevel",
-    ("atmosphere", "dominant_palette"): "DominantPalette", ("atmosphere", "palette"): "DominantPalette",
-    ("atmosphere", "aesthetic_qualities"): "AestheticQualities", ("environment", "indoor_outdoor"): "IndoorOutdoor",
-    ("environment", "weather"): "Weather", ("environment", "time_of_day_hint"): "TimeOfDayHint",
+    ("atmosphere", "color_temperature"): "LightingColorTemperature", ("atmosphere", "lighting_color_temperature"): "LightingColorTemperature",
+    ("atmosphere", "lighting_profile_color_temperature"): "LightingColorTemperature", ("lighting", "color_temperature"): "LightingColorTemperature",
+    ("lighting", "lighting_profile_color_temperature"): "LightingColorTemperature", ("atmosphere", "contrast_level"): "AtmosphereContrastLevel",
+    ("atmosphere", "lighting_profile_contrast_level"): "AtmosphereContrastLevel", ("lighting", "contrast_level"): "AtmosphereContrastLevel",
+    ("lighting", "lighting_profile_contrast_level"): "AtmosphereContrastLevel", ("atmosphere", "saturation_level"): "SaturationLevel",
+    ("atmosphere", "lighting_profile_saturation_level"): "SaturationLevel", ("lighting", "saturation_level"): "SaturationLevel",
+    ("lighting", "lighting_profile_saturation_level"): "SaturationLevel", ("atmosphere", "dominant_palette"): "DominantPalette",
+    ("atmosphere", "dominant_palette_mapped"): "DominantPalette", ("atmosphere", "palette"): "DominantPalette", ("atmosphere", "palette_color"): "DominantPalette",
+    ("atmosphere", "palette_colors"): "DominantPalette", ("atmosphere", "palette_detail"): "DominantPalette", ("atmosphere", "aesthetic_qualities"): "AestheticQualities",
+    ("atmosphere", "aesthetic_quality"): "AestheticQualities", ("atmosphere", "lighting_profile_aesthetic_qualities"): "AestheticQualities",
+    ("environment", "indoor_outdoor"): "IndoorOutdoor", ("environment", "weather"): "Weather", ("environment", "time_of_day_hint"): "TimeOfDayHint",
     ("camera", "perspective"): "Perspective", ("camera", "framing"): "Framing", ("camera", "focal_length"): "FocalLength",
-    ("camera", "depth_of_field"): "DepthOfField", ("camera", "angle"): "CameraAngle",
-    ("lighting", "directionality"): "Directionality", ("lighting", "hardness"): "Hardness", ("lighting", "shadows"): "Shadows",
-    ("lighting", "sources_count"): "SourcesCount", ("lighting", "sources_type"): "SourcesType",
+    ("camera", "depth_of_field"): "DepthOfField", ("camera", "angle"): "CameraAngle", ("lighting", "directionality"): "Directionality",
+    ("lighting", "hardness"): "Hardness", ("lighting", "shadows"): "Shadows", ("lighting", "sources_count"): "SourcesCount", ("lighting", "sources_type"): "SourcesType",
     ("people", "gender_presentation"): "GenderPresentation", ("people", "skin_tone"): "SkinTone", ("people", "age_range"): "AgeRange",
-    ("people", "gaze_direction"): "GazeDirection", ("people", "orientation"): "OrientationType", ("people", "face_emotion"): "FaceEmotion",
-    ("people", "hair_style"): "Hairstyle", ("people", "hair_color"): "HairColor", ("people", "occlusions"): "OcclusionState",
-    ("people", "eyewear_present"): "eyewear_present", ("people", "head_covering_present"): "head_covering_present",
-    ("people", "facial_hair_present"): "facial_hair_present", ("people", "hair_present"): "hair_present", ("people", "safety_gear_present"): "safety_gear_present",
-    ("texts", "visible_text_present"): "visible_text_present", ("objects", "vehicle_present"): "vehicle_present",
+    ("people", "gaze_direction"): "GazeDirection", ("people", "orientation"): "OrientationType", ("people", "pose_activity_orientation"): "OrientationType",
+    ("people", "face_emotion"): "FaceEmotion", ("people", "hair_style"): "Hairstyle", ("people", "hair_color"): "HairColor", ("people", "occlusions"): "OcclusionState",
+    ("people", "pose_activity_occlusions"): "OcclusionState", ("people", "eyewear_present"): "eyewear_present", ("people", "head_covering_present"): "head_covering_present",
+    ("people", "facial_hair_present"): "facial_hair_present", ("people", "facial_hair_presence"): "facial_hair_present", ("people", "hair_present"): "hair_present",
+    ("people", "safety_gear_present"): "safety_gear_present", ("texts", "visible_text_present"): "visible_text_present", ("objects", "vehicle_present"): "vehicle_present",
     ("objects", "animal_present"): "animal_present", ("objects", "tool_present"): "tool_present", ("people", "multiple_people_present"): "multiple_people_present",
     ("*", "gender_presentation"): "GenderPresentation", ("*", "hair_present"): "hair_present", ("*", "eyewear_present"): "eyewear_present",
     ("*", "head_covering_present"): "head_covering_present", ("*", "facial_hair_present"): "facial_hair_present",
 }
+#: The dimensions of the cohorts. A legacy document names them ``<prefix>_<dimension>`` without the cohort.
+COHORTS = {
+    "scene_appearance": ("mood", "color_temperature", "contrast_level", "aesthetic_qualities", "dominant_colors", "weather"),
+    "camera": ("depth_of_field", "framing", "perspective"),
+    "people": (
+        "gender_presentation", "skin_tone", "age_range", "body_type", "pose", "expression", "activities", "accessories", "eyewear_type", "eyewear_present",
+        "head_covering_type", "head_covering_present", "hair_present", "hair_color", "hair_style", "tattoo_present", "facial_hair_present", "facial_hair_style",
+        "facial_hair_color", "clothing_garment",
+    ),
+    "objects": ("items",),
+}
+LEGACY_PREFIX = {"scene_appearance": "scene", "camera": "camera", "people": "people", "objects": "objects"}
 
 
 def with_bins(df: DataFrame, by: list[str], label: str = "label") -> DataFrame:
@@ -44,10 +70,11 @@ def with_bins(df: DataFrame, by: list[str], label: str = "label") -> DataFrame:
     return df.alias("l").join(bins.alias("r"), same, "left").select("l.*", "r.bins")
 
 
-def count_rows(df: DataFrame) -> DataFrame:
-    """Tidy rows (cohort, dimension, label, count, bin): counts summed by label, ``bin`` the labels of the dimension."""
-    rows = df.groupBy("cohort", "dimension", "label").agg(F.sum(F.coalesce("count", F.lit(0))).alias("count"))
-    return rows.withColumn("bin", F.count(F.lit(1)).over(Window.partitionBy("cohort", "dimension")).cast("int"))
+def count_rows(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Tidy rows (``by``, cohort, dimension, label, count, bin): counts summed by label, ``bin`` the labels of the dimension."""
+    key = [*(by or []), "cohort", "dimension"]
+    rows = df.groupBy(*key, "label").agg(F.sum(F.coalesce("count", F.lit(0))).alias("count"))
+    return rows.withColumn("bin", F.count(F.lit(1)).over(Window.partitionBy(*key)).cast("int"))
 
 
 def nested_counts(df: DataFrame, by: list[str]) -> DataFrame:
@@ -72,12 +99,33 @@ def role_totals(df: DataFrame) -> DataFrame:
 
 
 def general_attributes(totals: DataFrame) -> DataFrame:
-    """Counts of the general attributes, by the exact cohort or else any, with the attributes' fixed order."""
-    order = {name: i for i, name in enumerate(dict.fromkeys(GENERAL.values()))}
+    """``cohort``, ``dimension`` (the general attribute), ``label``, ``count`` and ``ordinal``, the attribute's place in GENERAL_ORDER from 1: counts
+    by the exact cohort or else any."""
     table = F.create_map(*[F.lit(x) for (c, d), name in GENERAL.items() for x in (f"{c}|{d}", name)])
-    name = F.coalesce(F.try_element_at(table, F.concat_ws("|", "cohort", "dimension")), F.try_element_at(table, F.concat(F.lit("*|"), F.col("dimension"))))
-    rows = totals.withColumn("attribute", name).where(F.col("attribute").isNotNull()).groupBy("attribute", "label").agg(F.sum("count").alias("count"))
-    return rows.withColumn("ordinal", N.lookup({k: str(v) for k, v in order.items()}, F.col("attribute")).cast("int"))
+    exact = F.try_element_at(table, F.concat_ws("|", "cohort", "dimension"))
+    name = F.coalesce(exact, F.try_element_at(table, F.concat(F.lit("*|"), F.col("dimension"))))
+    cohort = F.when(exact.isNotNull(), F.col("cohort")).otherwise("people")
+    rows = totals.select(cohort.alias("cohort"), name.alias("dimension"), "label", "count").where("dimension IS NOT NULL").groupBy("cohort", "dimension", "label").agg(F.sum("count").alias("count"))
+    return rows.withColumn("ordinal", F.array_position(F.array(*[F.lit(x) for x in GENERAL_ORDER]), F.col("dimension")).cast("int"))
+
+
+def cohort_counts(docs: DataFrame, doc_id: str, column: str) -> DataFrame:
+    """``doc_id``, ``cohort``, ``dimension``, ``label``, ``count`` of count documents (JSON texts) in either form.
+
+    Nested: cohort, dimension, labels to counts; a number in place of labels counts under the dimension's name. Legacy: an
+    object with a flat name (``scene_mood``) has labels to counts below it and totals beside it; then other keys are left out.
+    Counts lose their fraction; what is no number, and documents that are no objects, give no rows."""
+    legacy = F.create_map(*[F.lit(x) for c, ds in COHORTS.items() for d in ds for x in (f"{LEGACY_PREFIX[c]}_{d}", f"{c}|{d}")])
+    top = docs.select(doc_id, F.from_json(column, "map<string,string>").alias("m")).where("m IS NOT NULL")
+    top = top.withColumn("old", F.exists(F.map_keys("m"), lambda k: F.try_element_at(legacy, k).isNotNull()))
+    parts = top.select(doc_id, "old", F.explode("m").alias("key", "body"))
+    named = F.split(F.try_element_at(legacy, F.col("key")), r"\|")
+    flat = parts.where(F.col("old") & (named.isNotNull()) & F.col("body").startswith("{")).select(doc_id, named[0].alias("cohort"), named[1].alias("dimension"), F.explode(F.from_json("body", "map<string,string>")).alias("label", "value"))
+    deep = parts.where((~F.col("old") | (F.col("key") == "totals")) & F.col("body").startswith("{")).select(doc_id, F.col("key").alias("cohort"), F.explode(F.from_json("body", "map<string,string>")).alias("dimension", "labels"))
+    many = deep.where(F.col("labels").startswith("{")).select(doc_id, "cohort", "dimension", F.explode(F.from_json("labels", "map<string,string>")).alias("label", "value"))
+    one = deep.where(~F.col("labels").startswith("{")).select(doc_id, "cohort", "dimension", F.col("dimension").alias("label"), F.col("labels").alias("value"))
+    count = F.col("value").try_cast("double").cast("bigint")
+    return flat.unionByName(many).unionByName(one).select(doc_id, "cohort", "dimension", "label", count.alias("count")).where("count IS NOT NULL")
 
 
 def all_roles(df: DataFrame) -> DataFrame:
@@ -142,6 +190,20 @@ def top_values(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
+def crosstab(df: DataFrame, row: str, column: str, names: dict[str, str], value: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row a value of ``row`` with a column for each of ``names`` (value of ``column`` to column name): the number of rows, or ``value``
+    (an aggregate of rows where the column has the value); ``total`` is their sum."""
+    cell = lambda v: F.count_if(F.col(column) == v) if value is None else value(F.col(column) == v)
+    g = df.groupBy(row).agg(*[cell(v).alias(n) for v, n in names.items()])
+    return g.withColumn("total", reduce(lambda a, b: a + b, [F.col(n) for n in names.values()]))
+
+
+def in_all(df: DataFrame, key: list[str], column: str, values: list[str]) -> DataFrame:
+    """Keys that are there with every one of ``values``."""
+    parts = [df.where(F.col(column) == v).select(*key) for v in values]
+    return reduce(lambda a, b: a.intersect(b), parts)
+
+
 def coverage(df: DataFrame, by: list[str]) -> DataFrame:
     """Cells of dimensions and labels that are filled, of all there could be."""
     known = df.where("dimension IS NOT NULL AND label IS NOT NULL")

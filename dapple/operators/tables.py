@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dapple.functions.normalize import activity_family, family, family_of_cohort, lookup, short_context
+from dapple.functions.normalize import activity_family, family, family_of_cohort, lookup, prevalence_cell, robustness_cell, short_context
 from dapple.functions.stats import ALPHA, chi2_sf, concentration, half_even, safe_div, three_arms, with_bh
 from dapple.operators.dense import POOLED
 
@@ -15,6 +15,9 @@ PRETTY = {"M35": "3.5", "Flx": "Flux"}
 TABLE3_MODELS = ["XL", "M35", "Flx", "Qwen"]
 ARMS = (("CF", "CF"), ("CA-U", "CA_Unrel"), ("CA-R", "CA_Rel"))
 TABLE2_FAMILIES = ("People", "Objects", "Camera")  # the family of scenes takes no part in table 2
+#: The order of table 2.
+MODEL_LEVELS = ("XL", "3.5", "Flux", "Qwen", "Total")
+FAMILY_LEVELS = ("People", "Objects", "Camera", "Sence", "All")
 MIN_LABEL_COUNT, MAX_RANGE = 5, 5
 
 
@@ -120,6 +123,20 @@ def table2(source: DataFrame) -> DataFrame:
     return bare.unionByName(typed, allowMissingColumns=True)
 
 
+def ordinal(x: Column, levels: tuple[str, ...]) -> Column:
+    """The place of a value among levels, from 1; null for others, which sort last."""
+    place = F.array_position(F.array(*[F.lit(v) for v in levels]), x)
+    return F.when(place > 0, place)
+
+
+def sorted_table2(table: DataFrame) -> DataFrame:
+    """Table 2 with its cells' texts and ``pos``, the place in the order of models and families of each half."""
+    order = [F.asc_nulls_last(ordinal(F.col("model"), MODEL_LEVELS)), F.asc_nulls_last(ordinal(F.col("dimension_family"), FAMILY_LEVELS))]
+    cell = F.when(F.col("prompt_type_category") == "No type", prevalence_cell(F.col("mean_pct"))).otherwise(robustness_cell(F.col("pct_invariant"), F.col("mean_p")))
+    pos = F.row_number().over(Window.partitionBy("prompt_type_category").orderBy(*order))
+    return table.select("prompt_type_category", "model", "dimension_family", "n_labels_tested", cell.alias("cell"), pos.alias("pos"))
+
+
 def table3_base(persistent: DataFrame, group: Column | str) -> DataFrame:
     rows = persistent.where((F.col("prompt_group") == group) & F.col("model_key").isin(*TABLE3_MODELS))
     g = rows.groupBy("model_key", "occupation", "label").agg(*[F.sum(c).alias(c) for c in ("label_n", "total_n", "chi_sq_loo", "df_loo")])
@@ -127,7 +144,7 @@ def table3_base(persistent: DataFrame, group: Column | str) -> DataFrame:
 
 
 def table3(base: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Labels that all four models have, ranked by mean and least share and mean p, with a column a model for each figure."""
+    """Labels that all four models have, with a column a model for each figure: the first ``rows`` by mean and least share and mean p."""
     cells = [F.max(F.when(F.col("model_key") == m, e)).alias(f"{m}_{n}") for m in TABLE3_MODELS for n, e in (("pct", half_even(F.col("pct"), 0)), ("chi2", half_even(F.col("chi_sq_loo"), 2)), ("p", F.col("p_value_loo")))]
     g = base.groupBy("occupation", "label").agg(F.countDistinct("model_key").alias("n_models"), F.avg("pct").alias("mean_pct"), F.min("pct").alias("min_pct"), F.avg("p_value_loo").alias("mean_p"), F.max("chi_sq_loo").alias("max_chi"), *cells)
     order = [F.desc_nulls_last("mean_pct"), F.desc_nulls_last("min_pct"), F.asc_nulls_last("mean_p"), "occupation", "label"]

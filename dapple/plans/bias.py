@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dapple.functions.normalize import short_context
+from dapple.functions.normalize import percent_p, short_context
 from dapple.functions.stats import with_bh
 from dapple.operators import bootstrap as B
 from dapple.operators import dense as D
@@ -227,10 +227,36 @@ def a20_rank(spark, sf_dir):
     return rounded(T.consistency_rank(_base(spark, sf_dir)).select(*_RANK), 7)
 
 
-@query("f12_preferred_group", DENSE + "SELECT DISTINCT model, 'ALL_TYPES' AS prompt_group FROM dense")
+@query("f12_preferred_group", COUNTS + """SELECT 'all' AS rows, CASE WHEN count(*) FILTER (prompt_group = 'ALL_TYPES') > 0 THEN 'ALL_TYPES' ELSE min(prompt_group) END AS prompt_group FROM counts
+UNION ALL SELECT 'typed', CASE WHEN count(*) FILTER (prompt_group = 'ALL_TYPES') > 0 THEN 'ALL_TYPES' ELSE min(prompt_group) END FROM counts WHERE prompt_group <> 'ALL_TYPES'""")
 def f12_preferred_group(spark, sf_dir):
-    dense = _dense(spark, sf_dir)
-    return dense.select("model").distinct().withColumn("prompt_group", T.preferred_group(dense))
+    every = D.prompt_counts(observations(spark, sf_dir))
+    typed = D.prompt_counts(observations(spark, sf_dir), pooled=False)
+    one = lambda name, rows: spark.range(1).select(F.lit(name).alias("rows"), T.preferred_group(rows).alias("prompt_group"))
+    return one("all", every).unionByName(one("typed", typed))
+
+
+def _sql_text(x: str) -> str:
+    return f"regexp_replace(format('{{:.2f}}', {x}), '^0', '')"
+
+
+@query("x31_p_texts", _BIAS + f"SELECT model, prompt_group, dimension, context, occupation, CASE WHEN p_value IS NULL THEN '' WHEN p_value < 0.005 THEN '.00' ELSE {_sql_text('p_value')} END AS p FROM adjusted")
+def x31_p_texts(spark, sf_dir):
+    return T.bias_by_occupation(_dense(spark, sf_dir)).select("model", "prompt_group", "dimension", "context", "occupation", percent_p(F.col("p_value")).alias("p"))
+
+
+@query("x32_o01_o04_table2_cells", _T2 + f"""SELECT prompt_type_category, model, dimension_family, n_labels_tested,
+  CASE WHEN prompt_type_category = 'No type' THEN coalesce(format('{{:.1f}}', mean_pct), '') ELSE coalesce(format('{{:.1f}}', pct_invariant), 'nan') || '/' || coalesce({_sql_text('mean_p')}, 'nan') END AS cell,
+  CAST(row_number() OVER (PARTITION BY prompt_type_category ORDER BY list_position(['XL', '3.5', 'Flux', 'Qwen', 'Total'], model), list_position(['People', 'Objects', 'Camera', 'Sence', 'All'], dimension_family)) AS INTEGER) AS pos FROM table2""")
+def x32_table2_cells(spark, sf_dir):
+    return T.sorted_table2(T.table2(T.table2_source(_dense(spark, sf_dir))))
+
+
+@query("o01_ranked_labels", _T3 + "SELECT occupation, label, CAST(row_number() OVER (PARTITION BY occupation ORDER BY round(mean_pct, 7) DESC NULLS LAST, round(min_pct, 7) DESC NULLS LAST, round(mean_p, 7) NULLS LAST, label) AS INTEGER) AS pos FROM ranked")
+def o01_ranked(spark, sf_dir):
+    rows = rounded(T.table3(T.table3_base(T.label_persistence(_dense(spark, sf_dir)), D.POOLED)), 7)
+    w = Window.partitionBy("occupation").orderBy(F.desc_nulls_last("mean_pct"), F.desc_nulls_last("min_pct"), F.asc_nulls_last("mean_p"), "label")
+    return rows.select("occupation", "label", F.row_number().over(w).alias("pos"))
 
 
 _FULL = OBS + """, summed AS (SELECT dimension, cohort, context, occupation, label, sum(count)::DOUBLE AS count FROM obs WHERE label <> 'unknown' GROUP BY ALL),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dapple.functions import normalize as N
+from dapple.functions.stats import safe_div
 from dapple.operators import rollup as R
 from dapple.plans.common import rounded
 from dapple.runtime import read_table
+from dapple.sources.paths import role_and_model
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -48,12 +50,17 @@ def x21(spark, sf_dir):
     return labels(spark, sf_dir).select("label", N.simple(F.col("label")).alias("simple"), N.simple_key(F.col("label")).alias("key"), N.is_structured(F.col("label")).alias("structured"))
 
 
-@query("x24_structured", """
-WITH p AS (SELECT label, unnest(string_split(label, '|')) AS part, generate_subscripts(string_split(label, '|'), 1) AS no FROM (SELECT DISTINCT label FROM role_rollup WHERE label LIKE '%|%')),
-     v AS (SELECT label, no, trim(regexp_replace(lower(part), '[_\\s-]+', ' ', 'g')) AS v FROM p)
-SELECT label, string_agg(replace(v, ' ', '_'), '|' ORDER BY no) AS structured FROM v GROUP BY label""")
+_KEY_OF = "replace(" + SIMPLE + ", ' ', '_')"
+
+
+def _sql_values(x: str) -> str:
+    return f"array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split({x}, ','), lambda v: {_KEY_OF.format('v')}), lambda v: v <> ''))), ',')"
+
+
+@query("x24_structured", f"""WITH l AS (SELECT DISTINCT label FROM role_rollup)
+SELECT label, array_to_string(list_filter(list_transform(string_split(coalesce(label, ''), '|'), lambda s: CASE WHEN contains(s, '=') THEN {_KEY_OF.format("split_part(s, '=', 1)")} || '=' || {_sql_values("s[strpos(s, '=') + 1:]")} ELSE {_sql_values("s")} END), lambda s: s <> ''), '|') AS structured FROM l""")
 def x24(spark, sf_dir):
-    return labels(spark, sf_dir).where(F.col("label").contains("|")).select("label", N.structured(F.col("label")).alias("structured"))
+    return labels(spark, sf_dir).select("label", N.structured(F.col("label")).alias("structured"))
 
 
 @query("x25_best_token", f"""
@@ -76,18 +83,23 @@ def x27(spark, sf_dir):
     return d.select("dimension", N.family(F.col("dimension")).alias("family"), N.family_of_cohort(F.col("cohort")).alias("cohort_family")).distinct()
 
 
-@query("x33_x34_k11_slugs", f"SELECT DISTINCT label, {SLUG.format('label')} AS slug, regexp_replace(regexp_replace(label, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS spaced FROM role_rollup WHERE regexp_matches(label, '[\\p{{L}}\\p{{N}}]')")
+_SLUGGED = f"coalesce(nullif({SLUG.format('label')}, ''), 'value')"
+
+
+@query("x33_x34_slugs", f"SELECT DISTINCT label, {_SLUGGED} AS slug, regexp_replace(regexp_replace(label, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS spaced FROM role_rollup")
 def x33(spark, sf_dir):
-    return labels(spark, sf_dir).where(F.col("label").rlike(r"[\pL\pN]")).select("label", N.slug(F.col("label")).alias("slug"), N.spaces(F.col("label")).alias("spaced"))
+    return labels(spark, sf_dir).select("label", N.slug(F.col("label")).alias("slug"), N.spaces(F.col("label")).alias("spaced"))
 
 
-@query("k11_limited_slug", f"WITH s AS (SELECT DISTINCT label, {SLUG.format('label')} AS s FROM role_rollup WHERE regexp_matches(label, '[\\p{{L}}\\p{{N}}]')) SELECT label, CASE WHEN length(s) <= 16 THEN s ELSE s[1:7] || '-' || md5(s)[1:8] END AS slug FROM s")
+@query("k11_limited_slug", f"WITH s AS (SELECT DISTINCT label, {_SLUGGED} AS s FROM role_rollup) SELECT label, CASE WHEN length(s) <= 16 THEN s ELSE s[1:7] || '-' || md5(s)[1:8] END AS slug FROM s")
 def k11(spark, sf_dir):
-    return labels(spark, sf_dir).where(F.col("label").rlike(r"[\pL\pN]")).select("label", N.limited_slug(F.col("label"), 16).alias("slug"))
+    return labels(spark, sf_dir).select("label", N.limited_slug(F.col("label"), 16).alias("slug"))
 
 
-_PRESENT = ", ".join(f"'{w}'" for w in N.POSITIVE)
-_ABSENT = ", ".join(f"'{w}'" for w in N.NEGATIVE)
+# The word lists stand here as well, so that the SQL can tell a wrong one.
+_PRESENT = "'present', 'yes', 'y', 'true', 'with', 'wearing', 'visible', 'on'"
+_ABSENT = "'absent', 'no', 'n', 'false', 'without', 'none', 'not', 'missing'"
+_UNKNOWN = ("unknown", "unk", "n/a", "na")
 
 
 def _has(x: str, words) -> str:
@@ -95,7 +107,7 @@ def _has(x: str, words) -> str:
 
 
 @query("x37_presence", f"""WITH l AS (SELECT DISTINCT lower(label) AS label FROM role_rollup WHERE label IS NOT NULL)
-SELECT label, CASE WHEN {_has('label', N.UNKNOWN)} THEN 'unknown' WHEN list_has_any({WORDS.format('label')}, [{_PRESENT}]) THEN 'yes' WHEN list_has_any({WORDS.format('label')}, [{_ABSENT}]) THEN 'no'
+SELECT label, CASE WHEN {_has('label', _UNKNOWN)} THEN 'unknown' WHEN list_has_any({WORDS.format('label')}, [{_PRESENT}]) THEN 'yes' WHEN list_has_any({WORDS.format('label')}, [{_ABSENT}]) THEN 'no'
   WHEN {_has('label', ('without', 'absent'))} THEN 'no' WHEN {_has('label', ('with', 'present'))} THEN 'yes' ELSE 'unknown' END AS presence FROM l""")
 def x37(spark, sf_dir):
     return rows(spark, sf_dir).where("label IS NOT NULL").select(F.lower("label").alias("label")).distinct().withColumn("presence", N.presence(F.col("label")))
@@ -110,7 +122,7 @@ def x38(spark, sf_dir):
     return low.select("label", N.gender(F.col("label")).alias("gender"), N.temperature(F.col("label")).alias("temperature"), N.contrast(F.col("label")).alias("contrast"))
 
 
-_COLOURS = ", ".join(f"'{c}'" for c in N.PALETTE)
+_COLOURS = "'black', 'white', 'brown', 'blue', 'red', 'green', 'orange', 'yellow', 'purple', 'pink', 'cyan', 'magenta', 'grey', 'gray', 'beige', 'silver', 'gold', 'ghostwhite'"
 
 
 @query("x40_palette", f"""WITH l AS (SELECT DISTINCT label, {WORDS.format('lower(label)')} AS w FROM role_rollup WHERE label IS NOT NULL)
@@ -157,6 +169,16 @@ def x50(spark, sf_dir):
     return labels(spark, sf_dir).select("label", N.plain_ascii(F.col("label")).alias("plain"))
 
 
+_STOP = "'a', 'an', 'and', 'the', 'of', 'for', 'to', 'in', 'on', 'at', 'from', 'with', 'this', 'that', 'is', 'are', 'was', 'were', 'be', 'been', 'as', 'it', 'its', 'their', 'his', 'her', 'your', 'our'"
+
+
+@query("x48_x49_clean_text", f"""WITH l AS (SELECT DISTINCT label, trim(regexp_replace(lower(strip_accents(coalesce(label, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS clean FROM role_rollup)
+SELECT label, clean, replace(clean, ' ', '_') AS snake, array_to_string(list_transform(list_filter(string_split(clean, ' '), lambda w: w <> '' AND w NOT IN ({_STOP})), lambda w: CASE WHEN length(w) > 3 AND suffix(w, 's') AND NOT suffix(w, 'ss') THEN w[1:-2] ELSE w END), ' ') AS lemmas FROM l""")
+def x48(spark, sf_dir):
+    x = F.col("label")
+    return labels(spark, sf_dir).select("label", N.basic_clean(x).alias("clean"), N.snake(x).alias("snake"), N.norm_text(x).alias("lemmas"))
+
+
 @query("f05_is_token", "SELECT dimension, count(*) AS n, count(*) FILTER (label IS NOT NULL AND lower(trim(label)) NOT IN ('', 'unknown', 'none')) AS tokens FROM role_rollup GROUP BY ALL")
 def f05(spark, sf_dir):
     return rows(spark, sf_dir).groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.count_if(N.is_token(F.col("label"))).alias("tokens"))
@@ -188,7 +210,7 @@ def f09(spark, sf_dir):
     return R.search(rows(spark, sf_dir), "lantern", ["label", "dimension", "occupation"]).select("row_id")
 
 
-@query("f14_o01_o04_final_columns", "SELECT occupation AS \"Occupation\", label AS \"Label\", count AS \"n.count\" FROM role_rollup WHERE label IS NOT NULL")
+@query("f14_final_columns", "SELECT occupation AS \"Occupation\", label AS \"Label\", count AS \"n.count\" FROM role_rollup WHERE label IS NOT NULL")
 def f14(spark, sf_dir):
     return rows(spark, sf_dir).where("label IS NOT NULL").select(F.col("occupation").alias("Occupation"), F.col("label").alias("Label"), F.col("count").alias("n.count"))
 
@@ -211,13 +233,35 @@ def s15(spark, sf_dir):
     return r.select("source_file", F.regexp_extract("source_file", head, 2).alias("context_short"), F.regexp_replace("source_file", head + "_", "").alias("role"), "n")
 
 
+@query("s18_role_and_model", """WITH f AS (SELECT DISTINCT source_file || '_' || model || '.csv' AS path FROM role_rollup UNION SELECT DISTINCT 'reviews/' || occupation || m || '.csv' FROM role_rollup, (SELECT unnest(['_SDXL', '_3.5', '_Flux', '_qwen', '']) AS m) WHERE occupation IS NOT NULL),
+s AS (SELECT path, regexp_replace(regexp_extract(path, '[^/\\\\]*$'), '\\.csv$', '') AS stem FROM f), t AS (SELECT *, lower(regexp_extract(stem, '_([^_]*)$', 1)) IN ('sdxl', '3.5', 'flux', 'qwen') AS known FROM s)
+SELECT path, stem, replace(CASE WHEN known THEN regexp_replace(stem, '_[^_]*$', '') ELSE stem END, '_', ' ') AS role, CASE WHEN known THEN regexp_extract(stem, '_([^_]*)$', 1) ELSE '' END AS model FROM t""")
+def s18(spark, sf_dir):
+    r = rows(spark, sf_dir)
+    suffixes = F.explode(F.array(*[F.lit(m) for m in ("_SDXL", "_3.5", "_Flux", "_qwen", "")])).alias("m")
+    reviews = r.where("occupation IS NOT NULL").select("occupation", suffixes).select(F.concat(F.lit("reviews/"), "occupation", "m", F.lit(".csv")).alias("path"))
+    paths = r.select(F.concat("source_file", F.lit("_"), "model", F.lit(".csv")).alias("path")).unionByName(reviews).distinct()
+    return paths.select("path", role_and_model(F.col("path")).alias("p")).select("path", "p.*")
+
+
+@query("x63_cohort_counts", """SELECT source_file || form AS doc, cohort, dimension, label, CAST(sum(coalesce(count, 0)) AS BIGINT) AS count FROM role_rollup, (SELECT unnest(['', '-legacy']) AS form)
+WHERE source_file IS NOT NULL AND label IS NOT NULL AND cohort IS NOT NULL AND dimension IS NOT NULL GROUP BY ALL""")
+def x63(spark, sf_dir):
+    """Count documents of both forms, made from the role files, read back."""
+    known = rows(spark, sf_dir).where("source_file IS NOT NULL AND cohort IS NOT NULL AND dimension IS NOT NULL")
+    dims = R.nested_counts(known, ["source_file", "cohort", "dimension"])
+    prefix = F.create_map(*[F.lit(x) for c, p in R.LEGACY_PREFIX.items() for x in (c, p)])
+    by = lambda *k: F.map_from_entries(F.collect_list(F.struct(*k)))
+    nested = dims.groupBy("source_file", "cohort").agg(by("dimension", "counts").alias("d")).groupBy("source_file").agg(F.to_json(by("cohort", "d")).alias("doc_text"))
+    legacy = dims.groupBy("source_file").agg(F.to_json(by(F.concat_ws("_", prefix[F.col("cohort")], "dimension"), "counts")).alias("doc_text"))
+    docs = nested.select(F.col("source_file").alias("doc"), "doc_text").unionByName(legacy.select(F.concat("source_file", F.lit("-legacy")).alias("doc"), "doc_text"))
+    return R.cohort_counts(docs, "doc", "doc_text")
+
+
 @query("k02_count_rows", """SELECT source_file, cohort, dimension, label, count, CAST(count(*) OVER (PARTITION BY source_file, cohort, dimension) AS INTEGER) AS bin FROM (
   SELECT source_file, cohort, dimension, label, CAST(sum(coalesce(count, 0)) AS BIGINT) AS count FROM role_rollup GROUP BY ALL)""")
 def k02(spark, sf_dir):
-    from pyspark.sql import Window
-
-    r = rows(spark, sf_dir).groupBy("source_file", "cohort", "dimension", "label").agg(F.sum(F.coalesce("count", F.lit(0))).alias("count"))
-    return r.withColumn("bin", F.count(F.lit(1)).over(Window.partitionBy("source_file", "cohort", "dimension")).cast("int"))
+    return R.count_rows(rows(spark, sf_dir), ["source_file"])
 
 
 @query("k03_nested_counts", """SELECT source_file, dimension, string_agg(label || '=' || c, ';' ORDER BY label) AS counts FROM (SELECT source_file, dimension, label, sum(coalesce(count, 0)) AS c FROM role_rollup WHERE label IS NOT NULL GROUP BY ALL) GROUP BY ALL""")
@@ -252,12 +296,12 @@ def a24(spark, sf_dir):
 
 _LOW = WS.format("lower(coalesce(label, ''))")
 _TOTALS = f"""WITH raw AS (SELECT occupation, coalesce(cohort, 'unknown') AS c, coalesce(dimension, 'unknown') AS dimension, {_LOW} AS low, coalesce(count, 0) AS n FROM role_rollup),
-s AS (SELECT *, {SLUG.format('c')} AS cohort, CASE WHEN low = '' OR {_has('low', N.UNKNOWN)} THEN 'unknown' ELSE low END AS s FROM raw),
+s AS (SELECT *, {SLUG.format('c')} AS cohort, CASE WHEN low = '' OR {_has('low', _UNKNOWN)} THEN 'unknown' ELSE low END AS s FROM raw),
 w AS (SELECT *, list_transform(list_filter({WORDS.format('s')}, lambda t: NOT list_contains(string_split(dimension, '_'), t)), lambda t: CASE t WHEN 'tshirt' THEN 't-shirt' ELSE t END) AS w, replace(s, '_', ' ') AS g FROM s),
 normal AS (SELECT occupation, cohort, dimension, n, CASE
   WHEN cohort = 'people' AND dimension = 'clothing_garment' THEN CASE WHEN contains(split_part(g, ' or ', 1), 'overalls') THEN 'overalls' WHEN suffix(split_part(g, ' or ', 1), ' shirt') THEN 'shirt' ELSE split_part(g, ' or ', 1) END
   WHEN suffix(dimension, 'activities') THEN regexp_replace(regexp_replace(regexp_replace(s, '(?i)\\bactivit(y|ies)\\b', '', 'g'), '\\s+', ' ', 'g'), '^ | $', '', 'g')
-  WHEN suffix(dimension, 'present') THEN CASE WHEN {_has('s', N.UNKNOWN)} THEN 'unknown' WHEN list_has_any({WORDS.format('s')}, [{_PRESENT}]) THEN 'yes' WHEN list_has_any({WORDS.format('s')}, [{_ABSENT}]) THEN 'no' WHEN {_has('s', ('without', 'absent'))} THEN 'no' WHEN {_has('s', ('with', 'present'))} THEN 'yes' ELSE 'unknown' END
+  WHEN suffix(dimension, 'present') THEN CASE WHEN {_has('s', _UNKNOWN)} THEN 'unknown' WHEN list_has_any({WORDS.format('s')}, [{_PRESENT}]) THEN 'yes' WHEN list_has_any({WORDS.format('s')}, [{_ABSENT}]) THEN 'no' WHEN {_has('s', ('without', 'absent'))} THEN 'no' WHEN {_has('s', ('with', 'present'))} THEN 'yes' ELSE 'unknown' END
   WHEN dimension = 'gender_presentation' THEN CASE WHEN contains(s, 'female') THEN 'female' WHEN contains(s, 'male') THEN 'male' ELSE 'unknown' END
   WHEN contains(dimension, 'color_temperature') THEN CASE WHEN contains(s, 'cool') THEN 'cool' WHEN contains(s, 'warm') THEN 'warm' WHEN contains(s, 'neutral') THEN 'neutral' WHEN contains(s, 'unknown') THEN 'unknown' ELSE s END
   ELSE CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE 'unknown' END END AS label FROM w),
@@ -270,12 +314,27 @@ def a25(spark, sf_dir):
     return R.role_totals(rows(spark, sf_dir))
 
 
-@query("a26_j14_general_attributes", _TOTALS + """, m AS (SELECT label, count, CASE WHEN cohort = 'camera' AND dimension = 'perspective' THEN 'Perspective' WHEN cohort = 'camera' AND dimension = 'framing' THEN 'Framing' WHEN cohort = 'camera' AND dimension = 'depth_of_field' THEN 'DepthOfField'
-  WHEN dimension = 'gender_presentation' THEN 'GenderPresentation' WHEN cohort = 'people' AND dimension = 'skin_tone' THEN 'SkinTone' WHEN cohort = 'people' AND dimension = 'age_range' THEN 'AgeRange' WHEN cohort = 'people' AND dimension = 'gaze_direction' THEN 'GazeDirection'
-  WHEN cohort = 'people' AND dimension = 'hair_style' THEN 'Hairstyle' WHEN cohort = 'people' AND dimension = 'hair_color' THEN 'HairColor' WHEN dimension IN ('eyewear_present', 'head_covering_present', 'facial_hair_present', 'hair_present') THEN dimension END AS attribute FROM totals)
-SELECT attribute, label, CAST(sum(count) AS BIGINT) AS count FROM m WHERE attribute IS NOT NULL GROUP BY ALL""")
+_GENERAL = """
+atmosphere mood Mood 1; atmosphere mood_distribution Mood 1; atmosphere color_temperature LightingColorTemperature 2; atmosphere lighting_color_temperature LightingColorTemperature 2;
+atmosphere lighting_profile_color_temperature LightingColorTemperature 2; lighting color_temperature LightingColorTemperature 2; lighting lighting_profile_color_temperature LightingColorTemperature 2;
+atmosphere contrast_level AtmosphereContrastLevel 3; atmosphere lighting_profile_contrast_level AtmosphereContrastLevel 3; lighting contrast_level AtmosphereContrastLevel 3; lighting lighting_profile_contrast_level AtmosphereContrastLevel 3;
+atmosphere saturation_level SaturationLevel 4; atmosphere lighting_profile_saturation_level SaturationLevel 4; lighting saturation_level SaturationLevel 4; lighting lighting_profile_saturation_level SaturationLevel 4;
+atmosphere dominant_palette DominantPalette 5; atmosphere dominant_palette_mapped DominantPalette 5; atmosphere palette DominantPalette 5; atmosphere palette_color DominantPalette 5; atmosphere palette_colors DominantPalette 5; atmosphere palette_detail DominantPalette 5;
+atmosphere aesthetic_qualities AestheticQualities 6; atmosphere aesthetic_quality AestheticQualities 6; atmosphere lighting_profile_aesthetic_qualities AestheticQualities 6; environment indoor_outdoor IndoorOutdoor 7; environment weather Weather 8; environment time_of_day_hint TimeOfDayHint 9;
+camera perspective Perspective 10; camera framing Framing 11; camera focal_length FocalLength 12; camera depth_of_field DepthOfField 13; camera angle CameraAngle 14; lighting directionality Directionality 15; lighting hardness Hardness 16; lighting shadows Shadows 17; lighting sources_count SourcesCount 18; lighting sources_type SourcesType 19;
+people gender_presentation GenderPresentation 20; people skin_tone SkinTone 21; people age_range AgeRange 22; people gaze_direction GazeDirection 23; people orientation OrientationType 24; people pose_activity_orientation OrientationType 24; people face_emotion FaceEmotion 25; people hair_style Hairstyle 26; people hair_color HairColor 27;
+people occlusions OcclusionState 28; people pose_activity_occlusions OcclusionState 28; people eyewear_present eyewear_present 29; people head_covering_present head_covering_present 30; people facial_hair_present facial_hair_present 31; people facial_hair_presence facial_hair_present 31; people hair_present hair_present 38; people safety_gear_present safety_gear_present 32;
+texts visible_text_present visible_text_present 33; objects vehicle_present vehicle_present 34; objects animal_present animal_present 35; objects tool_present tool_present 36; people multiple_people_present multiple_people_present 37;
+* gender_presentation GenderPresentation 20; * hair_present hair_present 38; * eyewear_present eyewear_present 29; * head_covering_present head_covering_present 30; * facial_hair_present facial_hair_present 31
+"""
+_GENERAL_ROWS = ", ".join("('{}', '{}', '{}', {})".format(*x.split()) for x in _GENERAL.split(";"))
+
+
+@query("a26_j14_general_attributes", _TOTALS + f""", g(c, d, a, o) AS (VALUES {_GENERAL_ROWS}),
+named AS (SELECT coalesce(e.c, 'people') AS cohort, coalesce(e.a, w.a) AS dimension, label, count, coalesce(e.o, w.o) AS ordinal FROM totals t LEFT JOIN g e ON t.cohort = e.c AND t.dimension = e.d LEFT JOIN g w ON w.c = '*' AND t.dimension = w.d)
+SELECT cohort, dimension, label, CAST(sum(count) AS BIGINT) AS count, CAST(ordinal AS INTEGER) AS ordinal FROM named WHERE dimension IS NOT NULL GROUP BY ALL""")
 def a26(spark, sf_dir):
-    return R.general_attributes(R.role_totals(rows(spark, sf_dir))).drop("ordinal")
+    return R.general_attributes(R.role_totals(rows(spark, sf_dir)))
 
 
 @query("a29_by_context_role", "SELECT context, occupation, dimension, count(DISTINCT prompt_no) AS prompts, CAST(sum(count) AS BIGINT) AS total FROM role_rollup GROUP BY ALL")
@@ -304,10 +363,28 @@ def a41(spark, sf_dir):
     return rounded(R.coverage(rows(spark, sf_dir), ["context"]))
 
 
-@query("a42_u04_roles_in_contexts", """SELECT occupation, count(*) FILTER (context = 'CF') AS cf, count(*) FILTER (context = 'CA-U') AS ca_u, count(*) FILTER (context = 'CA-R') AS ca_r, count(DISTINCT context) AS contexts FROM role_rollup GROUP BY ALL HAVING count(DISTINCT context) >= 1""")
+_CONTEXTS = {"CF": "cf", "CA-U": "ca_u", "CA-R": "ca_r"}
+
+
+@query("a42_roles_by_context", """SELECT occupation, count(*) FILTER (context = 'CF') AS cf, count(*) FILTER (context = 'CA-U') AS ca_u, count(*) FILTER (context = 'CA-R') AS ca_r, count(*) FILTER (context IN ('CF', 'CA-U', 'CA-R')) AS total,
+  bool_or(context = 'CF') AND bool_or(context = 'CA-U') AND bool_or(context = 'CA-R') AS in_all FROM role_rollup GROUP BY ALL""")
 def a42(spark, sf_dir):
-    cell = lambda c: F.count_if(F.col("context") == c)
-    return rows(spark, sf_dir).groupBy("occupation").agg(cell("CF").alias("cf"), cell("CA-U").alias("ca_u"), cell("CA-R").alias("ca_r"), F.countDistinct("context").alias("contexts")).where("contexts >= 1")
+    g = R.crosstab(rows(spark, sf_dir), "occupation", "context", _CONTEXTS)
+    return g.withColumn("in_all", (F.col("cf") > 0) & (F.col("ca_u") > 0) & (F.col("ca_r") > 0))
+
+
+@query("u04_labels_of_all_contexts", "SELECT dimension, label FROM role_rollup WHERE context = 'CF' INTERSECT SELECT dimension, label FROM role_rollup WHERE context = 'CA-U' INTERSECT SELECT dimension, label FROM role_rollup WHERE context = 'CA-R'")
+def u04(spark, sf_dir):
+    return R.in_all(rows(spark, sf_dir), ["dimension", "label"], "context", ["CF", "CA-U", "CA-R"])
+
+
+@query("a45_bank_counts", """SELECT occupation, count(DISTINCT prompt_no) FILTER (context = 'CF') AS cf, count(DISTINCT prompt_no) FILTER (context = 'CA-R') AS ca_r, count(DISTINCT prompt_no) FILTER (context = 'CA-U') AS ca_u,
+  count(DISTINCT prompt_no) FILTER (context = 'CF') + count(DISTINCT prompt_no) FILTER (context = 'CA-R') + count(DISTINCT prompt_no) FILTER (context = 'CA-U') AS total FROM role_rollup GROUP BY ALL""")
+def a45(spark, sf_dir):
+    prompts = rows(spark, sf_dir).select("occupation", "context", "prompt_no").where("prompt_no IS NOT NULL").distinct()
+    every = rows(spark, sf_dir).select("occupation").distinct()
+    counts = R.crosstab(prompts, "occupation", "context", {"CF": "cf", "CA-R": "ca_r", "CA-U": "ca_u"})
+    return every.alias("e").join(counts.alias("c"), F.col("e.occupation").eqNullSafe(F.col("c.occupation")), "left").select("e.occupation", "cf", "ca_r", "ca_u", "total").fillna(0, ["cf", "ca_r", "ca_u", "total"])
 
 
 @query("a43_w05_top_label", """SELECT context, dimension, label, c AS count FROM (SELECT context, dimension, label, CAST(sum(coalesce(count, 0)) AS BIGINT) AS c FROM role_rollup WHERE label IS NOT NULL GROUP BY ALL)
@@ -316,16 +393,16 @@ def a43(spark, sf_dir):
     return R.top_label(rows(spark, sf_dir), ["context", "dimension"])
 
 
-@query("a44_w04_shares", """WITH t AS (SELECT context, label, CAST(sum(count) AS BIGINT) AS count FROM role_rollup WHERE dimension = 'weather' AND label IS NOT NULL GROUP BY ALL)
-SELECT context, label, count, round(count::DOUBLE / nullif(sum(count) OVER (PARTITION BY context), 0), 9) AS share FROM t""")
+@query("a44_w04_shares", """WITH t AS (SELECT context, dimension, label, CAST(sum(count) AS BIGINT) AS count FROM role_rollup WHERE label IS NOT NULL GROUP BY ALL)
+SELECT context, dimension, label, count, round(count::DOUBLE / nullif(sum(count) OVER (PARTITION BY context, dimension), 0), 9) AS share FROM t""")
 def a44(spark, sf_dir):
-    t = rows(spark, sf_dir).where("dimension = 'weather' AND label IS NOT NULL").groupBy("context", "label").agg(F.sum("count").alias("count"))
-    return rounded(R.shares(t, ["context"]))
+    t = rows(spark, sf_dir).where("label IS NOT NULL").groupBy("context", "dimension", "label").agg(F.sum("count").alias("count"))
+    return rounded(R.shares(t, ["context", "dimension"]))
 
 
-@query("a45_u02_u03_role_gaps", """SELECT DISTINCT occupation FROM role_rollup WHERE context = 'CF' AND occupation NOT IN (SELECT occupation FROM role_rollup WHERE context = 'CA-R' AND occupation IS NOT NULL)
+@query("u02_u03_role_gaps", """SELECT DISTINCT occupation FROM role_rollup WHERE context = 'CF' AND occupation NOT IN (SELECT occupation FROM role_rollup WHERE context = 'CA-R' AND occupation IS NOT NULL)
 UNION SELECT DISTINCT occupation FROM role_rollup WHERE context = 'CA-U' AND prompt_no = 1""")
-def a45(spark, sf_dir):
+def u02(spark, sf_dir):
     r = rows(spark, sf_dir)
     only = r.where("context = 'CF'").select("occupation").join(r.where("context = 'CA-R'").select("occupation").distinct(), "occupation", "left_anti")
     return only.union(r.where("context = 'CA-U' AND prompt_no = 1").select("occupation")).distinct()
@@ -350,11 +427,8 @@ def x08(spark, sf_dir):
     return rounded(R.with_interval(t, "k", n))
 
 
-@query("x31_x32_x01_formats", """WITH t AS (SELECT label, count(*) AS n, count(DISTINCT dimension) AS d FROM role_rollup WHERE label IS NOT NULL GROUP BY ALL)
-SELECT label, round(CASE WHEN d > 1 THEN n / d::DOUBLE END, 9) AS ratio, CASE WHEN n < 5 THEN '.00' ELSE '.25' END AS p FROM t""")
-def x31(spark, sf_dir):
-    from dapple.functions.stats import safe_div
-
+@query("x01_safe_ratio", """WITH t AS (SELECT label, count(*) AS n, count(DISTINCT dimension) AS d FROM role_rollup WHERE label IS NOT NULL GROUP BY ALL)
+SELECT label, round(CASE WHEN d > 1 THEN n / (d - 1)::DOUBLE END, 9) AS ratio FROM t""")
+def x01(spark, sf_dir):
     t = rows(spark, sf_dir).where("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dimension").alias("d"))
-    p = F.when(F.col("n") < 5, F.lit(0.001)).otherwise(F.lit(0.25))
-    return rounded(t.select("label", safe_div(F.col("n"), F.when(F.col("d") > 1, F.col("d"))).alias("ratio"), N.percent_p(p).alias("p")))
+    return rounded(t.select("label", safe_div(F.col("n"), F.col("d") - 1).alias("ratio")))
