@@ -43,6 +43,7 @@ def three_arms(arms: list[tuple[Column, Column]]) -> dict[str, Column]:
 def with_bh(df: DataFrame, p: str, by: list[str], to: str = "p_adj", buckets: int = 1024) -> DataFrame:
     """``df`` with Benjamini-Hochberg adjusted p-values of column ``p`` within groups; null stays null and doesn't count.
 
+    A p of 0 stays 0 and the highest, 1, stays 1, so the many rows that have these aren't joined.
     Equal p-values are adjusted alike, so the work is on distinct values, in buckets of their range: ranks come from
     the buckets' counts, the running minimum from the buckets' minima. A group of any size is spread over its buckets.
     ``df`` is written once, as several steps read it and its p-values may come from a reflection call."""
@@ -61,7 +62,37 @@ def with_bh(df: DataFrame, p: str, by: list[str], to: str = "p_adj", buckets: in
     same = F.col(f"l.{p}") == F.col("r._p")
     for c in by:
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    return df.alias("l").join(adjusted.alias("r"), same, "left").select("l.*", f"r.{to}")
+    ends = F.col(p).isNull() | (F.col(p) <= 0) | (F.col(p) >= 1)
+    inner_rows = df.where(~ends).alias("l").join(adjusted.alias("r"), same, "left").select("l.*", f"r.{to}")
+    return inner_rows.unionByName(df.where(ends).withColumn(to, F.when(F.col(p) <= 0, F.lit(0.0)).when(F.col(p) >= 1, F.lit(1.0))))
+
+
+def medians(df: DataFrame, value: str, sets: list[list[str]], scale: float = 1000.0, to: str = "median") -> DataFrame:
+    """Exact medians of ``value`` (finite, null left out) for grouping sets of columns, which are null where a set hasn't got them, with
+    ``_set``, the set's number.
+
+    Values are counted, and their counts added up in buckets of 1 / ``scale``: only the one or two buckets that hold a group's
+    middle are looked at value by value, so no group is sorted in one task."""
+    names = list(dict.fromkeys(c for s in sets for c in s))
+    parts = [df.where(F.col(value).isNotNull()).groupBy(*s, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).select(F.lit(i).alias("_set"), *[(F.col(n) if n in s else F.lit(None).cast(dict(df.dtypes)[n])).alias(n) for n in names], "_v", "_c") for i, s in enumerate(sets)]
+    counts = parts[0]
+    for part in parts[1:]:
+        counts = counts.unionByName(part)
+    counts = written(counts.withColumn("_b", F.floor(F.col("_v") * scale)), "value-counts")
+    key = ["_set", *names]
+    w = Window.partitionBy(*key)
+    upto = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    buckets = counts.groupBy(*key, "_b").agg(F.sum("_c").alias("_s")).withColumns({"_before": F.sum("_s").over(upto) - F.col("_s"), "_n": F.sum("_s").over(w)})
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    middle = buckets.where((F.col("_before") <= high) & (F.col("_before") + F.col("_s") > low))
+    on = F.col("l._b") == F.col("r._b")
+    for c in key:
+        on = on & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    near = counts.alias("l").join(middle.alias("r"), on).select("l.*", "r._before", "r._n")
+    inner = Window.partitionBy(*key, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.withColumn("_end", F.col("_before") + F.sum("_c").over(inner)).withColumn("_start", F.col("_end") - F.col("_c"))
+    at = lambda k: F.max(F.when((F.col("_start") <= k) & (F.col("_end") > k), F.col("_v")))
+    return near.groupBy(*key).agg(((at(low) + at(high)) / 2).alias(to))
 
 
 def concentration(x: str | Column) -> Column:

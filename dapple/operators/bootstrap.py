@@ -18,38 +18,41 @@ from dapple.runtime import written
 
 REPLICATES = 1000
 LABEL_SALTS, LABEL_BLOCK = 16, 2000
+MOST_WEIGHTS = 100_000_000  # of 2 bytes each
 PAIRS = (("CA-U", "CF"), ("CA-R", "CF"), ("CA-U", "CA-R"))
 CONDITIONS = ("CF", "CA-R", "CA-U")
 
 
-def role_weights(models: list[str], roles: list[str], replicates: int, seed: int) -> pd.DataFrame:
-    """Multiplicities of roles: element 0 is 1 (the point), the others are draws with replacement, made model by
-    model, context by context, replicate by replicate from one generator."""
-    rng, rows, n = np.random.default_rng(seed), [], len(roles)
+def role_weights(models: list[str], roles: list[str], replicates: int, seed: int) -> dict[tuple[str, str], np.ndarray]:
+    """Multiplicities of roles (rows) by replicate, for each model and context: column 0 is 1 (the point), the others are draws with
+    replacement, made model by model, context by context, replicate by replicate from one generator."""
+    rng, out, n = np.random.default_rng(seed), {}, len(roles)
     for model in models:
         for context in CONDITIONS:
             drawn = np.stack([np.bincount(rng.integers(0, n, size=n), minlength=n) for _ in range(replicates)]) if replicates else np.zeros((0, n), int)
-            weights = np.vstack([np.ones((1, n), int), drawn]).T
-            rows += [(model, context, role, weights[i].tolist()) for i, role in enumerate(roles)]
-    return pd.DataFrame(rows, columns=["model", "context_short", "occupation", "w"])
+            out[(model, context)] = np.vstack([np.ones((1, n), int), drawn]).T.astype(np.uint16)
+    return out
 
 
 def trajectories(dense: DataFrame, group: Column | str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
     """``model``, ``context_short``, ``dimension_family``, ``dimension``, ``replicate`` (0 is the point), ``bi``. Labels without weight
-    in a replicate are no classes of it."""
+    in a replicate are no classes of it. A label that two cohorts of a dimension have counts once, in the first by name.
+    Models and roles come to the driver, for the draws; more than MOST_WEIGHTS weights are refused."""
     rows = counted(dense).where((F.col("prompt_group") == group) & (F.col("count") > 0)).withColumn("context_short", short_context(F.col("context"))).where(F.col("context_short").isin(*CONDITIONS))
     rows = rows.groupBy("model", "context_short", "cohort", "dimension", "occupation", "label").agg(F.sum("count").alias("c"))
+    rows = rows.groupBy("model", "context_short", "dimension", "occupation", "label").agg(F.min_by("c", "cohort").alias("c"), F.min("cohort").alias("cohort"))
     rows = written(rows, "role-counts")
     models = [r[0] for r in rows.select("model").distinct().orderBy("model").collect()]
     roles = [r[0] for r in rows.select("occupation").distinct().orderBy("occupation").collect()]
-    table = role_weights(models, roles, replicates, seed)
-    weights = {key: np.array(g["w"].tolist(), dtype=float) for key, g in table.groupby(["model", "context_short"], sort=False)}
+    if len(models) * len(CONDITIONS) * len(roles) * (replicates + 1) > MOST_WEIGHTS:
+        raise ValueError(f"{len(models)} models, {len(roles)} roles and {replicates} replicates make more than {MOST_WEIGHTS} weights")
+    weights = role_weights(models, roles, replicates, seed)
     at = {role: i for i, role in enumerate(roles)}
-    shared = dense.sparkSession.sparkContext.broadcast(weights)  # models x contexts x roles x replicates, none of which grows with the facts
+    shared = dense.sparkSession.sparkContext.broadcast(weights)  # at most MOST_WEIGHTS
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         """The parts of the concentration that add up over labels, for every replicate."""
-        w = shared.value[(pdf["model"].iloc[0], pdf["context_short"].iloc[0])]
+        w = shared.value[(pdf["model"].iloc[0], pdf["context_short"].iloc[0])].astype(float)
         label, names = pd.factorize(pdf["label"])
         role, count = pdf["occupation"].map(at).to_numpy(), pdf["c"].to_numpy(float)
         s, xlogx, n = np.zeros(w.shape[1]), np.zeros(w.shape[1]), np.zeros(w.shape[1], np.int64)
@@ -61,13 +64,13 @@ def trajectories(dense: DataFrame, group: Column | str, replicates: int = REPLIC
             s += x.sum(axis=0)
             xlogx += (x * np.log(np.where(x > 0, x, 1))).sum(axis=0)
             n += (x > 0).sum(axis=0)
-        head = pdf[["model", "context_short", "cohort", "dimension"]].head(1).reset_index(drop=True)
-        return head.assign(s=[s], xlogx=[xlogx], n=[n])
+        head = pdf[["model", "context_short", "dimension"]].head(1).reset_index(drop=True)
+        return head.assign(cohort=pdf["cohort"].min(), s=[s], xlogx=[xlogx], n=[n])
 
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("label"), F.lit(LABEL_SALTS)))
-    parts = salted.groupBy("model", "context_short", "cohort", "dimension", "_salt").applyInPandas(sums, "model string, context_short string, cohort string, dimension string, s array<double>, xlogx array<double>, n array<bigint>")
+    parts = salted.groupBy("model", "context_short", "dimension", "_salt").applyInPandas(sums, "model string, context_short string, dimension string, cohort string, s array<double>, xlogx array<double>, n array<bigint>")
     cells = parts.select("model", "context_short", "cohort", "dimension", F.posexplode(F.arrays_zip("s", "xlogx", "n")).alias("replicate", "z"))
-    g = cells.groupBy("model", "context_short", "cohort", "dimension", "replicate").agg(*[F.sum(f"z.{c}").alias(c) for c in ("s", "xlogx", "n")]).where("s > 0")
+    g = cells.groupBy("model", "context_short", "dimension", "replicate").agg(F.min("cohort").alias("cohort"), *[F.sum(f"z.{c}").alias(c) for c in ("s", "xlogx", "n")]).where("s > 0")
     bi = F.when(F.col("n") <= 1, F.lit(0.0)).otherwise(1 + (F.col("xlogx") / F.col("s") - F.ln("s")) / F.ln(F.col("n").cast("double")))
     return g.select("model", "context_short", "cohort", "dimension", "replicate", bi.alias("bi"), family(F.col("cohort")).alias("dimension_family"))
 

@@ -2,8 +2,11 @@
 
 A group g is (model, dimension, cohort, prompt_group). Every label of a group gets a row at each (context, occupation)
 of the group, 0 where it wasn't seen. Denominators need one distinct count, of prompts at (group, context, occupation):
-prompts of different occupations and contexts are different, so the higher levels are sums of it. Totals by context are
-window sums over the dense rows, so the fact takes two joins on the group instead of one for each total.
+prompts of different occupations and contexts are different, so the higher levels are sums of it.
+
+The dense rows are never shuffled. What is joined has a row a (group, context, label): its total, and the counts of the
+occupations it was seen at as a map. Each row then spreads to the occupations of its (group, context), which come as a
+list, in blocks of about OCCUPATIONS so that no list grows with the number of occupations.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from dapple.runtime import written
 
 CAP = 10
 POOLED = "ALL_TYPES"
+OCCUPATIONS = 512
 GROUP = ["model", "dimension", "cohort", "prompt_group"]
 
 
@@ -51,12 +55,17 @@ def dense_fact(obs: DataFrame, cap: int = CAP, capped: bool = True, pooled: bool
     An expectation is null where the rest of the group is empty. No rows in, no rows out. The counts by prompt, from
     which everything follows, are written once, so that the observations are read once."""
     counts = written(prompt_counts(obs, cap if capped else None, pooled), "prompt-counts")
+    blocks = max(1, -(-counts.agg(F.approx_count_distinct("occupation")).first()[0] // OCCUPATIONS))
+    block = F.pmod(F.xxhash64("occupation"), F.lit(blocks)).cast("int")
     labels = counts.groupBy(*GROUP, "label").agg(F.sum("count").alias("obs_whole"))
     labels = labels.join(labels.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("bins")), GROUP)
     seen = counts.groupBy(*GROUP, "context", "occupation", "label").agg(F.sum("count").alias("count"))
-    grid = denominators(counts, cap).join(labels, GROUP)
-    rows = grid.join(seen, [*GROUP, "context", "occupation", "label"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    rows = rows.withColumn("obs_context", F.sum("count").over(Window.partitionBy(*GROUP, "context", "label")))
+    there = seen.groupBy(*GROUP, "context", "label", block.alias("_b")).agg(F.map_from_entries(F.collect_list(F.struct("occupation", "count"))).alias("_seen"), F.sum("count").alias("_c"))
+    of_context = there.groupBy(*GROUP, "context", "label").agg(F.sum("_c").alias("obs_context"))
+    places = denominators(counts, cap).groupBy(*GROUP, "context", "n_context", "n_all", block.alias("_b")).agg(F.collect_list(F.struct("occupation", "n_occ")).alias("_at"))
+    grid = places.join(labels, GROUP).join(of_context, [*GROUP, "context", "label"], "left").join(there.drop("_c"), [*GROUP, "context", "label", "_b"], "left")
+    rows = grid.withColumn("_o", F.explode("_at")).withColumns({"occupation": F.col("_o.occupation"), "n_occ": F.col("_o.n_occ"), "obs_context": F.coalesce("obs_context", F.lit(0))})
+    rows = rows.withColumn("count", F.coalesce(F.try_element_at("_seen", F.col("occupation")), F.lit(0))).drop("_at", "_o", "_seen", "_b")
     return expectations(rows)
 
 

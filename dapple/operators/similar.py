@@ -7,16 +7,18 @@ n-grams, which most values share, don't make pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from dapple.functions import normalize as N
+from dapple.runtime import written
 
 COMBINED, GATE, DEDUPE, COSINE = 0.80, 0.65, 0.88, 0.80
 ENUM_COSINE, COLOUR_COSINE, ENUM_RATIO, COLOUR_RATIO = 0.62, 0.48, 0.96, 0.92
@@ -30,6 +32,18 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """:func:`ratio` where it is ``least`` or more; otherwise an upper bound below ``least``, which is cheaper to have."""
+
+    def one(x: str, y: str, bound: float) -> float:
+        m = SequenceMatcher(None, x, y)
+        quick = m.quick_ratio()
+        return m.ratio() if quick >= bound else quick
+
+    return pd.Series([one(x, y, z) for x, y, z in zip(a, b, least, strict=True)], dtype="float64")
+
+
 def gate(a: str, b: str) -> bool:
     """Whether two strings may mean the same: ratio, a shared word or one being the start of the other."""
     if SequenceMatcher(None, a, b).ratio() >= GATE or set(a.split()) & set(b.split()):
@@ -66,8 +80,10 @@ def similar_pairs(vectors: DataFrame, by: list[str], text: str, threshold: float
 
 def combined_pairs(values: DataFrame, by: list[str], text: str, threshold: float = COMBINED) -> DataFrame:
     """Pairs with (cosine + ratio) / 2 of ``threshold`` or more. As a ratio is at most 1, the cosine must reach 2 x threshold - 1."""
-    pairs = similar_pairs(tfidf(values, by, text), by, text, 2 * threshold - 1)
-    scored = pairs.withColumn("ratio", ratio("a", "b"))
+    pairs = similar_pairs(written(tfidf(values, by, text), "vectors"), by, text, 2 * threshold - 1)
+    need = 2 * threshold - F.col("cosine") - 1e-9
+    longest = 2 * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b"))  # no ratio is above it
+    scored = pairs.where(longest >= need).withColumn("ratio", ratio_from("a", "b", need))
     return scored.withColumn("score", (F.col("cosine") + F.col("ratio")) / 2).where(F.col("score") >= threshold)
 
 
@@ -75,6 +91,7 @@ def standardise(df: DataFrame, by: list[str], column: str, threshold: float = CO
     """``by``, ``column``, ``standard``: each distinct value's standard. Values claim similar ones in the order of their number of
     rows, then text; a value that was claimed claims none. Values whose plain text is empty stand for themselves."""
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("plain", F.trim(N.plain_ascii(F.col("value"))))
+    counts = written(counts, "values")
     plain = counts.where("plain != ''").select(*by, "plain").distinct()
     pairs = combined_pairs(plain, by, "plain", threshold)
     both = pairs.select(*by, "a", "b").unionByName(pairs.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
@@ -105,33 +122,38 @@ def standardise(df: DataFrame, by: list[str], column: str, threshold: float = CO
 
 
 def keep_unlike(df: DataFrame, by: list[str], text: str, order: str, threshold: float = DEDUPE, most: int = BUCKET_ITEMS) -> DataFrame:
-    """The first ``most`` items of each bucket that aren't like one kept before them, in the order of ``order``."""
-    types = dict(df.dtypes)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        texts: list[str] = []
-        pdf = pdf.sort_values([order, text])
-        for i, t in enumerate(pdf[text]):
-            if t is not None and len(kept) < most and not any(SequenceMatcher(None, t, s).ratio() >= threshold for s in texts):
-                kept.append(i)
-                texts.append(t)
-        return pdf.iloc[kept]
-
+    """The first ``most`` items of each bucket that aren't like one kept before them, in the order of ``order``. Buckets are
+    streamed in this order; only the texts kept, at most ``most``, are held."""
     cols = [*by, text, order]
-    return df.select(*cols).groupBy(*by).applyInPandas(pick, ", ".join(f"{c} {types[c]}" for c in cols))
+    rows = df.select(*cols)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, kept = None, []
+        for batch in batches:
+            keep = []
+            for row, (*key, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in [*by, text]), strict=True)):
+                if key != bucket:
+                    bucket, kept = key, []
+                if t is not None and len(kept) < most and not any(SequenceMatcher(None, t, s).ratio() >= threshold for s in kept):
+                    kept.append(t)
+                    keep.append(row)
+            if keep:
+                yield batch.take(pa.array(keep))
+
+    return rows.repartition(*by).sortWithinPartitions(*by, order, text).mapInArrow(pick, rows.schema)
 
 
 def hash_embedding(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """Unit vectors from hashed character 3-grams: stands in for a sentence encoder, which may be given instead."""
+    padded = [f"  {t} " for t in texts]
+    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
+    chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner, mask, factor = np.repeat(np.arange(len(padded)), lengths), np.uint64(0xFFFFFFFF), np.uint64(1_000_003)
     out = np.zeros((len(texts), dimensions))
-    for row, t in zip(out, texts, strict=True):
-        padded = f"  {t} "
-        for i in range(len(padded) - 2):
-            h = 0
-            for c in padded[i : i + 3]:
-                h = (h * 1_000_003 + ord(c)) & 0xFFFFFFFF
-            row[h % dimensions] += 1
+    if len(chars) >= 3:
+        h = ((chars[:-2] * factor + chars[1:-1] & mask) * factor + chars[2:]) & mask
+        whole = owner[:-2] == owner[2:]
+        np.add.at(out, (owner[:-2][whole], (h[whole] % np.uint64(dimensions)).astype(np.int64)), 1)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -147,20 +169,22 @@ def online_clusters(tokens: list[str], counts: list[int], embed: Embed = hash_em
     """The canonical name of each token: one pass that joins a token to the nearest cluster within ``threshold`` that passes the
     string gate, moves its centre by weight and keeps its best name; underscores stand for spaces in names."""
     vectors = embed(tokens)
-    centres, weights, best, of = [], [], [], []
+    weights, best, of = [], [], []
+    centres = np.zeros((16, vectors.shape[1] if len(tokens) else 1))  # grows by doubling
     for token, count, v in zip(tokens, counts, vectors, strict=True):
-        count = max(count, 1)
+        count, n = max(count, 1), len(best)
         found = -1
-        if centres:
-            scores = np.array(centres) @ v
-            for i in np.argsort(-scores, kind="stable"):
-                if scores[i] < threshold:
-                    break
+        if n:
+            scores = centres[:n] @ v
+            near = np.flatnonzero(scores >= threshold)
+            for i in near[np.argsort(-scores[near], kind="stable")]:
                 if gate(token, best[i][1]):
                     found = int(i)
                     break
         if found < 0:
-            centres.append(v)
+            if n == len(centres):
+                centres = np.concatenate([centres, np.zeros_like(centres)])
+            centres[n] = v
             weights.append(count)
             best.append((_rank(token, count), token))
             found = len(best) - 1
@@ -173,14 +197,16 @@ def online_clusters(tokens: list[str], counts: list[int], embed: Embed = hash_em
     return [best[i][1].replace(" ", "_") for i in of]
 
 
-SKIPPED = ("clothing_garment_color", "role_hint")
+#: What isn't cleaned.
+SKIPPED = (("people", "clothing_garment_color"), ("people", "role_hint"))
 
 
 def semantic_clean(df: DataFrame, by: list[str], embed: Embed = hash_embedding, threshold: float = COSINE) -> DataFrame:
     """Counts (``by``, ``label``, ``count``) with labels replaced by their cluster's name and summed. Labels are taken in the order of
-    their text. Dimensions in SKIPPED are left out, cohort ``totals`` is left alone, labels that normalise to nothing go."""
+    their text. Cohorts and dimensions in SKIPPED are left out, cohort ``totals`` is left alone, labels that normalise to nothing go."""
     sums = df.where("label IS NOT NULL").groupBy(*by, "label").agg(F.sum(F.coalesce("count", F.lit(0))).cast("bigint").alias("count"))
-    sums = sums.where(~F.coalesce(F.col("dimension").isin(*SKIPPED), F.lit(False)))
+    for cohort, dimension in SKIPPED:
+        sums = sums.where(~F.coalesce((F.col("cohort") == cohort) & (F.col("dimension") == dimension), F.lit(False)))
     same = F.coalesce(F.col("cohort") == "totals", F.lit(False))
     simple = sums.where(~same).withColumn("label", F.when(N.is_structured(F.col("label")), N.structured(F.col("label"))).otherwise(N.simple(F.col("label")))).where("label != ''")
     merged = simple.groupBy(*by, "label").agg(F.sum("count").alias("count"))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dapple.functions.normalize import activity_family, family, family_of_cohort, lookup, prevalence_cell, robustness_cell, short_context
-from dapple.functions.stats import ALPHA, chi2_sf, concentration, half_even, safe_div, three_arms, with_bh
+from dapple.functions.stats import ALPHA, chi2_sf, concentration, half_even, medians, safe_div, three_arms, with_bh
 from dapple.operators.dense import POOLED
+from dapple.runtime import written
 
 #: Short names of models, and the contexts' columns.
 MODEL_KEYS = {"SDXL": "XL", "3.5": "M35", "Flux": "Flx", "Qwen": "Qwen"}
@@ -109,17 +110,24 @@ def table2_source(dense: DataFrame) -> DataFrame:
 
 def table2(source: DataFrame) -> DataFrame:
     """Both halves of table 2 as a cube over model and family (``Total``, ``All``), metrics of the other half null."""
-
-    def half(category: str, metric: str, **metrics: Column) -> DataFrame:
-        rows = source.where(F.col("prompt_type_category") == category).cube("model_pretty", "dimension_family")
-        cells = rows.agg(F.count(F.lit(1)).alias("n_labels_tested"), *[e.alias(n) for n, e in metrics.items()])
+    source = written(source, "table2-source")
+    keys = ["model_pretty", "dimension_family"]
+
+    def half(category: str, metric: str, value: str, median: str, **metrics: Column) -> DataFrame:
+        rows = source.where(F.col("prompt_type_category") == category)
+        cells = rows.cube(*keys).agg(F.count(F.lit(1)).alias("n_labels_tested"), F.grouping_id().alias("_set"), *[e.alias(n) for n, e in metrics.items()])
+        middle = medians(rows, value, [keys, keys[:1], keys[1:], []], to=median)  # sets by their number as grouping_id has it
+        on = F.col("l._set") == F.col("r._set")
+        for k in keys:
+            on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        cells = cells.alias("l").join(middle.alias("r"), on, "left").select("l.*", f"r.{median}")
         return cells.select(
             F.lit(category).alias("prompt_type_category"), F.lit(metric).alias("table_metric"), F.coalesce("model_pretty", F.lit("Total")).alias("model"),
-            F.coalesce("dimension_family", F.lit("All")).alias("dimension_family"), "n_labels_tested", *metrics,
+            F.coalesce("dimension_family", F.lit("All")).alias("dimension_family"), "n_labels_tested", *metrics, median,
         )
 
-    bare = half("No type", "mean baseline prevalence", mean_pct=F.avg("pct"), median_pct=F.median("pct"))
-    typed = half("Other type", "% invariant / mean p-value", pct_invariant=100 * F.avg(F.col("invariant").cast("int")), mean_p=F.avg("p_value_loo"), median_p=F.median("p_value_loo"))
+    bare = half("No type", "mean baseline prevalence", "pct", "median_pct", mean_pct=F.avg("pct"))
+    typed = half("Other type", "% invariant / mean p-value", "p_value_loo", "median_p", pct_invariant=100 * F.avg(F.col("invariant").cast("int")), mean_p=F.avg("p_value_loo"))
     return bare.unionByName(typed, allowMissingColumns=True)
 
 
@@ -167,7 +175,9 @@ def context_consistency(table: DataFrame, group: Column | str) -> DataFrame:
 
 
 def consistency_summary(rows: DataFrame) -> DataFrame:
-    g = rows.groupBy("model_key").agg(F.count(F.lit(1)).alias("n_labels_tested"), F.count_if("consistent").alias("n_consistent"), F.avg("pct_range").alias("mean_pct_range"), F.median("pct_range").alias("median_pct_range"))
+    rows = written(rows, "consistency")
+    g = rows.groupBy("model_key").agg(F.count(F.lit(1)).alias("n_labels_tested"), F.count_if("consistent").alias("n_consistent"), F.avg("pct_range").alias("mean_pct_range"))
+    g = g.join(medians(rows, "pct_range", [["model_key"]], to="median_pct_range").drop("_set"), "model_key", "left")
     return g.withColumn("pct_consistent", 100 * safe_div(F.col("n_consistent"), F.col("n_labels_tested")))
 
 

@@ -74,16 +74,65 @@ def totals(records: DataFrame) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("images"), F.coalesce(F.sum(F.size("persons")), F.lit(0)).alias("people_instances"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("object_instances"))
 
 
+#: The keys of the parts of a record, and values that always hold.
+KEYS = {
+    "": TOP_KEYS, "image": ("image_id", "file_path", "source_model", "caption", "source_metadata"), "cohorts": ("scene_appearance", "camera", "objects", "people", "totals"),
+    "cohorts.scene_appearance": SCENE + SCENE_LISTS, "cohorts.camera": CAMERA, "cohorts.objects": ("items",), "cohorts.people": ("persons",),
+    "cohorts.totals": ("images", "object_instances", "people_instances"),
+}
+PERSON_KEYS = (*PERSON, *PERSON_LISTS, "person_id", "clothing", "gaze_direction")
+CLOTHING_KEYS = ("clothing_garment", "clothing_color")
+PRESENCE = ("yes", "no", "unknown")
+#: Whose vocabulary the values of a dimension are from, if not its own.
+VOCABULARY_OF = {"facial_hair_color": "dominant_colors", "clothing_color": "dominant_colors"}
+_ERROR = "array<struct<error:string,place:string>>"
+
+
+def _under(path: str, names: Column) -> Column:
+    return F.transform(names, lambda k: F.concat(F.lit(f"{path}." if path else ""), k))
+
+
+def _errors(kind: str, places: Column) -> Column:
+    return F.transform(places, lambda p: F.struct(F.lit(kind).alias("error"), p.alias("place")))
+
+
 def validate(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``id``, ``error``, ``place``: keys that aren't in the schema, more than MOST_ITEMS items, and single values outside the
-    vocabulary (dimension, label; ``unknown`` always holds)."""
-    extra = F.transform(F.array_except(F.json_object_keys("text"), F.array(*[F.lit(k) for k in TOP_KEYS])), lambda k: F.struct(F.lit("extra_key").alias("error"), k.alias("place")))
-    many = F.when(F.size("items") > MOST_ITEMS, F.array(F.struct(F.lit("too_many_items").alias("error"), F.lit("items").alias("place")))).otherwise(F.array().cast("array<struct<error:string,place:string>>"))
-    shape = records.select("id", F.explode(F.concat(extra, many)).alias("e")).select("id", "e.*")
-    cells = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(f"json.cohorts.{c}.{d}").alias("label")) for c, ds in (("scene_appearance", SCENE), ("camera", CAMERA)) for d in ds])
-    values = records.select("id", F.explode(cells).alias("v")).select("id", "v.*").where("label IS NOT NULL AND label != 'unknown'")
-    wrong = values.join(vocabulary.select("dimension", "label").distinct(), ["dimension", "label"], "left_anti")
-    return shape.unionByName(wrong.select("id", F.lit("enum").alias("error"), F.col("dimension").alias("place")))
+    """``id``, ``error``, ``place``: what is wrong with a record, each place once.
+
+    ``extra_key``: a key that isn't in the schema, at any depth; persons and clothing have places ``people.persons.<key>`` and
+    ``people.persons.clothing.<key>``. ``too_many_items``: more than MOST_ITEMS. ``literal``: a value outside the vocabulary
+    (``dimension``, ``label``) of a dimension that has one, or outside PRESENCE; ``unknown`` always holds. Nulls hold too."""
+    doc = F.col("text")
+    extras = []
+    for path, keys in KEYS.items():
+        part = F.get_json_object(doc, f"$.{path}") if path else doc
+        found = F.array_except(F.json_object_keys(F.when(part.startswith("{"), part)), F.array(*[F.lit(k) for k in keys]))
+        extras.append(_under(path, F.coalesce(found, F.array().cast("array<string>"))))
+    people = F.get_json_object(doc, "$.cohorts.people")
+    persons = F.when(people.startswith("["), people).otherwise(F.get_json_object(people, "$.persons"))
+    bodies = F.coalesce(F.from_json(persons, "array<string>"), F.array().cast("array<string>"))
+    keys_of = lambda xs: F.flatten(F.transform(xs, lambda x: F.coalesce(F.json_object_keys(F.when(x.startswith("{"), x)), F.array().cast("array<string>"))))
+    unknown_keys = lambda xs, keys, path: _under(path, F.array_except(keys_of(xs), F.array(*[F.lit(k) for k in keys])))
+    garments = F.flatten(F.transform(bodies, lambda x: F.coalesce(F.from_json(F.get_json_object(x, "$.clothing"), "array<string>"), F.array().cast("array<string>"))))
+    extras += [unknown_keys(bodies, PERSON_KEYS, "people.persons"), unknown_keys(garments, CLOTHING_KEYS, "people.persons.clothing")]
+    many = F.when(F.size("items") > MOST_ITEMS, F.array(F.struct(F.lit("too_many_items").alias("error"), F.lit("items").alias("place")))).otherwise(F.array().cast(_ERROR))
+    shape = records.select("id", F.explode(F.concat(_errors("extra_key", F.array_distinct(F.flatten(F.array(*extras)))), many)).alias("e")).select("id", "e.*")
+
+    tokens = image_tokens(records).select("id", "dimension", "label")
+    colours = records.select("id", F.explode(F.flatten(F.transform("persons", lambda p: F.flatten(F.transform(F.coalesce(F.from_json(p["clothing"], "array<struct<clothing_color:string>>"), F.array()), lambda c: as_list(c["clothing_color"])))))).alias("label"))
+    colours = colours.where(is_token(F.col("label"))).select("id", F.lit("clothing_color").alias("dimension"), "label").distinct()
+    of = F.create_map(*[F.lit(x) for pair in VOCABULARY_OF.items() for x in pair])
+    values = tokens.unionByName(colours).withColumn("of", F.coalesce(F.try_element_at(of, F.col("dimension")), F.col("dimension")))
+    known = vocabulary.select(F.col("dimension").alias("of"), "label").distinct()
+    checked = values.join(known.select("of").distinct(), "of", "left_semi").join(known, ["of", "label"], "left_anti")
+    presence = values.where(F.col("dimension").endswith("_present") & ~F.col("label").isin(*PRESENCE))
+    wrong = checked.select("id", "dimension").unionByName(presence.select("id", "dimension")).distinct()
+    return shape.unionByName(wrong.select("id", F.lit("literal").alias("error"), F.col("dimension").alias("place")))
+
+
+def colour_errors(errors: DataFrame) -> DataFrame:
+    """``id`` of the records that a colour outside the vocabulary makes invalid: these are described again."""
+    return errors.where((F.col("error") == "literal") & F.lower("place").contains("color")).select("id").distinct()
 
 
 def strip_fences(x: Column) -> Column:

@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dapple.operators.tables import tail
-
-
-def complete(df: DataFrame, group: list[str], parts: list[list[str]]) -> DataFrame:
-    """All combinations, within each group, of the distinct values of each part; each step is an equi-join on the group."""
-    out = df.select(*group).distinct()
-    for part in parts:
-        out = out.join(df.select(*group, *part).distinct(), group)
-    return out
+from dapple.runtime import written
 
 
 def completed(obs: DataFrame) -> DataFrame:
     """Counts at every context, occupation and label of a (dimension, cohort), 0 where there are none, with totals,
-    shares and expectations. Rows with label ``unknown`` take no part; null counts are 0."""
-    rows = obs.where(F.col("label") != "unknown").groupBy("dimension", "cohort", "context", "occupation", "label").agg(F.sum(F.coalesce(F.col("count").cast("double"), F.lit(0.0))).alias("count"))
-    grid = complete(rows, ["dimension", "cohort"], [["context"], ["occupation"], ["label"]])
-    full = grid.join(rows, ["dimension", "cohort", "context", "occupation", "label"], "left").fillna(0.0, ["count"])
-    dc = ["dimension", "cohort"]
-    over = lambda *k: Window.partitionBy(*dc, *k)
-    total = lambda *k: F.sum("count").over(over(*k))
-    full = full.withColumns({"n_all": total(), "n_context": total("context"), "n_occ": total("context", "occupation"), "obs_whole": total("label"), "obs_context": total("context", "label")})
-    bins = rows.groupBy("dimension", "cohort").agg(F.countDistinct("label").cast("int").alias("bins"))
-    full = full.join(bins, ["dimension", "cohort"])
+    shares and expectations. Rows with label ``unknown`` take no part; null counts are 0.
+
+    Totals are sums of the counts there are, as zeros add nothing. A (dimension, cohort, label) carries its counts by context
+    and occupation as a map, meets one row of its (dimension, cohort) with the contexts, occupations and totals, and
+    spreads to all of them, so that the completed rows aren't shuffled."""
+    dc, co = ["dimension", "cohort"], F.struct("context", "occupation")
+    rows = obs.where(F.col("label") != "unknown").groupBy(*dc, "context", "occupation", "label").agg(F.sum(F.coalesce(F.col("count").cast("double"), F.lit(0.0))).alias("count"))
+    rows = written(rows, "counts")
+    by = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+    contexts = rows.groupBy(*dc, "context").agg(F.sum("count").alias("n")).groupBy(*dc).agg(by("context", "n").alias("_contexts"), F.sum("n").alias("n_all"))
+    places = rows.groupBy(*dc, "context", "occupation").agg(F.sum("count").alias("n")).groupBy(*dc).agg(by(co, "n").alias("_places"), F.collect_set("occupation").alias("_occupations"))
+    bins = rows.groupBy(*dc).agg(F.countDistinct("label").cast("int").alias("bins"))
+    groups = contexts.join(places, dc).join(bins, dc)
+    in_context = rows.groupBy(*dc, "label", "context").agg(F.sum("count").alias("n"))
+    labels = rows.groupBy(*dc, "label").agg(by(co, "count").alias("_cells"), F.sum("count").alias("obs_whole")).join(in_context.groupBy(*dc, "label").agg(by("context", "n").alias("_in")), [*dc, "label"])
+    full = labels.join(groups, dc).select("*", F.explode("_contexts").alias("context", "n_context")).withColumn("occupation", F.explode("_occupations"))
+    zero = F.lit(0.0)
+    full = full.select(
+        *dc, "context", "occupation", "label", F.coalesce(F.try_element_at("_cells", co), zero).alias("count"), "n_all", "n_context",
+        F.coalesce(F.try_element_at("_places", co), zero).alias("n_occ"), "obs_whole", F.coalesce(F.try_element_at("_in", F.col("context")), zero).alias("obs_context"), "bins",
+    )
     share = F.try_divide("obs_whole", "n_all")
     return full.withColumns({"uniform_prop": 1.0 / F.col("bins"), "prop_overall": share, "exp_whole": F.col("n_all") / F.col("bins"), "exp_context": F.col("n_context") * share, "exp_occ": F.col("n_occ") * share})
 

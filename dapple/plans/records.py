@@ -9,6 +9,7 @@ from dapple.operators import agreement as A
 from dapple.operators import tokens as T
 from dapple.plans.common import OBS, observations, rounded
 from dapple.runtime import read_table
+from dapple.sources import paths as P
 from dapple.sources.paths import path_columns, work_plan
 
 QUERIES: dict = {}
@@ -62,14 +63,39 @@ def a22(spark, sf_dir):
     return T.totals(records(spark, sf_dir))
 
 
-@query("v01_v02_validation", _WHOLE + """, v AS (""" + " UNION ALL ".join(f"SELECT id, '{d}' AS dimension, j->>'$.cohorts.{c}.{d}' AS label FROM lists" for c, ds in (("scene_appearance", T.SCENE), ("camera", T.CAMERA)) for d in ds) + """)
-SELECT id, 'enum' AS error, dimension AS place FROM v WHERE label IS NOT NULL AND label <> 'unknown' AND (dimension, label) NOT IN (SELECT (dimension, label) FROM canonical_map)
-UNION ALL SELECT id, 'too_many_items', 'items' FROM lists WHERE len(items) > 3
-UNION ALL SELECT id, 'extra_key', k FROM (SELECT id, unnest(json_keys(j)) AS k FROM lists) WHERE k NOT IN ('schema_version', 'image', 'cohorts')""")
+def _sql_keys(path: str, keys) -> str:
+    part = f"(j->'$.{path}')" if path else "j"
+    names = ", ".join(f"'{k}'" for k in keys)
+    return f"SELECT id, 'extra_key' AS error, '{path + '.' if path else ''}' || k AS place FROM (SELECT id, unnest(json_keys({part})) AS k FROM lists WHERE json_type({part}) = 'OBJECT') WHERE k NOT IN ({names})"
+
+
+_SQL_KEYS = {
+    "": ("schema_version", "image", "cohorts"), "image": ("image_id", "file_path", "source_model", "caption", "source_metadata"), "cohorts": ("scene_appearance", "camera", "objects", "people", "totals"),
+    "cohorts.scene_appearance": ("mood", "color_temperature", "weather", "aesthetic_qualities", "dominant_colors"), "cohorts.camera": ("depth_of_field", "framing", "perspective"), "cohorts.objects": ("items",),
+    "cohorts.people": ("persons",), "cohorts.totals": ("images", "object_instances", "people_instances"),
+}
+_ERRORS = _TOKENS.rstrip() + f""", garments AS (SELECT id, unnest(CASE json_type(c) WHEN 'ARRAY' THEN json_extract(c, '$[*]') WHEN 'OBJECT' THEN [c] ELSE [] END) AS g FROM (SELECT id, unnest(persons)->'$.clothing' AS c FROM lists)),
+colours AS (SELECT DISTINCT id, 'clothing_color' AS dimension, label FROM (SELECT id, unnest({_sql_list("(g->'$.clothing_color')")}) AS label FROM garments) WHERE label IS NOT NULL AND lower(trim(label)) NOT IN ('', 'unknown', 'none')),
+vals AS (SELECT *, CASE WHEN dimension IN ('facial_hair_color', 'clothing_color') THEN 'dominant_colors' ELSE dimension END AS of FROM (SELECT id, dimension, label FROM tokens UNION ALL SELECT * FROM colours)),
+errors AS ({" UNION ".join(_sql_keys(p, k) for p, k in _SQL_KEYS.items())}
+  UNION SELECT id, 'extra_key', 'people.persons.' || k FROM (SELECT id, unnest(json_keys(p)) AS k FROM (SELECT id, unnest(persons) AS p FROM lists)) WHERE k NOT IN ({", ".join(f"'{k}'" for k in (*T.PERSON, *T.PERSON_LISTS, "person_id", "clothing", "gaze_direction"))})
+  UNION SELECT id, 'extra_key', 'people.persons.clothing.' || k FROM (SELECT id, unnest(json_keys(g)) AS k FROM garments WHERE json_type(g) = 'OBJECT') WHERE k NOT IN ('clothing_garment', 'clothing_color')
+  UNION SELECT id, 'too_many_items', 'items' FROM lists WHERE len(items) > 3
+  UNION SELECT id, 'literal', dimension FROM vals WHERE of IN (SELECT dimension FROM canonical_map) AND (of, label) NOT IN (SELECT (dimension, label) FROM canonical_map WHERE dimension IS NOT NULL AND label IS NOT NULL)
+  UNION SELECT id, 'literal', dimension FROM vals WHERE suffix(dimension, '_present') AND label NOT IN ('yes', 'no', 'unknown'))
+"""
+
+
+@query("v01_validation", _ERRORS + "SELECT * FROM errors")
 def v01(spark, sf_dir):
     return T.validate(records(spark, sf_dir), read_table(spark, sf_dir, "canonical_map"))
 
 
+@query("v02_colour_errors", _ERRORS + "SELECT DISTINCT id FROM errors WHERE error = 'literal' AND contains(lower(place), 'color')")
+def v02(spark, sf_dir):
+    return T.colour_errors(v01(spark, sf_dir))
+
+
 @query("v03_fences", "SELECT record_id, json_valid(record) AS whole, length(trim(record)) AS n FROM audit_records WHERE record IS NOT NULL")
 def v03(spark, sf_dir):
     r = read_table(spark, sf_dir, "audit_records").where("record IS NOT NULL")
@@ -117,6 +143,62 @@ def s01(spark, sf_dir):
     return path_columns(files, "file_path").select("file_id", "model", "context", "occupation", "type", "prompt", "file", "hidden")
 
 
+_FILES = "files AS (SELECT file_path AS path FROM tiny_files UNION SELECT j->>'$.image.file_path' FROM (SELECT CAST(record AS JSON) AS j FROM audit_records WHERE json_valid(record)) WHERE coalesce(j->>'$.image.file_path', '') <> '')"
+
+
+def _files(spark, sf_dir):
+    """Paths of the small files and of the images that records name."""
+    images = read_table(spark, sf_dir, "audit_records").where(F.try_parse_json("record").isNotNull()).select(F.get_json_object("record", "$.image.file_path").alias("path"))
+    return read_table(spark, sf_dir, "tiny_files").select(F.col("file_path").alias("path")).unionByName(images.where("path != ''")).distinct()
+
+
+@query("s07_prompt_folders", f"WITH {_FILES} SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS folder FROM files WHERE regexp_extract(path, '[^/]*$') = 'frequencies.csv'")
+def s07(spark, sf_dir):
+    return P.prompt_folders(_files(spark, sf_dir), "frequencies.csv")
+
+
+@query("s08_manifests", f"""WITH {_FILES}, folder AS (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS folder FROM files), json AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, min(path) AS path FROM files WHERE suffix(lower(path), '.json') GROUP BY ALL)
+SELECT folder, path AS manifest FROM folder LEFT JOIN json USING (folder)""")
+def s08(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return P.manifest_of(files.select(P.parent(F.col("path")).alias("folder")).distinct(), files, files)
+
+
+@query("s09_image_paths", f"""WITH {_FILES}, r AS (SELECT record_id, image_id, CAST(record AS JSON)->>'$.image.file_path' AS rel FROM audit_records WHERE json_valid(record)), c AS (
+  SELECT record_id, 1 AS rank, rel AS path FROM r UNION ALL SELECT record_id, 2, source_model || '/' || image_id || '.png' FROM audit_records JOIN r USING (record_id, image_id))
+SELECT record_id, arg_min(f.path, rank) AS path FROM r LEFT JOIN c USING (record_id) LEFT JOIN files f ON f.path = c.path AND c.path <> '' GROUP BY ALL""")
+def s09(spark, sf_dir):
+    r = read_table(spark, sf_dir, "audit_records").where(F.try_parse_json("record").isNotNull())
+    named = r.select("record_id", F.get_json_object("record", "$.image.file_path").alias("relpath"), F.col("source_model").alias("folder"), F.concat("image_id", F.lit(".png")).alias("filename"))
+    return P.resolved_images(named, _files(spark, sf_dir), "record_id")
+
+
+_LOW = "list_transform(string_split(folder, '/'), lambda p: replace(lower(trim(p)), ' ', '_'))"
+
+
+@query("s20_manifest", f"""WITH {_FILES}, i AS (SELECT path, regexp_extract(path, '[^/]*$') AS filename, regexp_replace(path, '/?[^/]*$', '') AS folder FROM files WHERE regexp_matches(lower(path), '\\.(png|jpe?g)$')),
+n AS (SELECT *, list_filter(list_transform(list_reverse({_LOW}), lambda p: CASE WHEN p IN ('context-aware_related_ca-r', 'context-aware_related', 'ca-r') THEN 'CA-R' WHEN p IN ('context-aware_unrelated_ca-u', 'context-aware_unrelated', 'ca-u') THEN 'CA-U' WHEN p IN ('context-free_cf', 'context-free', 'cf') THEN 'CF' END), lambda c: c IS NOT NULL) AS c FROM i)
+SELECT folder, regexp_replace(filename, '\\.[^.]*$', '') AS id, replace(regexp_extract(folder, '[^/]*$'), '_', ' ') AS prompt_used, filename, path AS relpath, regexp_extract(regexp_replace(folder, '/?[^/]*$', ''), '[^/]*$') AS role, coalesce(c[1], '') AS context FROM n""")
+def s20(spark, sf_dir):
+    return P.build_manifest(_files(spark, sf_dir))
+
+
+@query("s12_source_files", f"WITH {_FILES} SELECT path FROM files WHERE regexp_matches(path, '(^|/)frequency/[^/]*[.]csv$') AND NOT list_has_any(string_split(regexp_replace(path, '/?[^/]*$', ''), '/'), ['Lumen-XT', 'descriptions'])")
+def s12(spark, sf_dir):
+    return P.source_files(_files(spark, sf_dir), "frequency", ("Lumen-XT", "descriptions"))
+
+
+@query("k09_exported_files", f"WITH {_FILES} SELECT path FROM files WHERE regexp_matches(lower(path), '\\.(json|csv)$') AND regexp_extract(path, '[^/]*$') NOT IN ('metadata.json', 'manifest.json', 'images_info.json')")
+def k09(spark, sf_dir):
+    return P.exported_files(_files(spark, sf_dir))
+
+
+@query("s10_summary_reports", "SELECT record_id FROM audit_records WHERE json_valid(record) AND json_type(record) = 'OBJECT' AND list_contains(json_keys(record), 'cohorts')")
+def s10(spark, sf_dir):
+    r = read_table(spark, sf_dir, "audit_records").where(F.try_parse_json("record").isNotNull())
+    return P.summary_reports(r, "record").select("record_id")
+
+
 @query("z04_j13_x65_f17_work_plan", """WITH want AS (SELECT DISTINCT occupation AS prompt, image_id FROM documents WHERE image_id IS NOT NULL AND occupation IS NOT NULL), have AS (SELECT DISTINCT image_id FROM audit_records WHERE json_valid(record)),
 m AS (SELECT w.prompt, w.image_id, h.image_id IS NOT NULL AS done FROM want w LEFT JOIN have h USING (image_id))
 SELECT prompt, count(*) AS expected, count(*) FILTER (done) AS existing, CASE WHEN bool_and(done) THEN 'complete' WHEN bool_or(done) THEN 'resume' ELSE 'pending' END AS status, min(image_id) FILTER (NOT done) AS first_missing, max(image_id) FILTER (done) AS last_done FROM m GROUP BY ALL""")

@@ -59,7 +59,7 @@ def test_bootstrap_matches_numpy(obs):
             pooled = Counter()
             for r in rows:
                 if r.context == c:
-                    pooled[r.label] += r["count"] * w[(w.context_short == c) & (w.occupation == r.occupation)].w.iloc[0][rep]
+                    pooled[r.label] += r["count"] * int(w[("gen_SDXL", c)]["xyz".index(r.occupation), rep])
             v = np.array([x for x in pooled.values() if x > 0], float)
             q = v / v.sum()
             assert got[(c, rep)] == pytest.approx(0.0 if len(v) == 1 else 1 + (q * np.log(q)).sum() / np.log(len(v)), abs=1e-9)
