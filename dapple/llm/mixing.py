@@ -83,10 +83,10 @@ class Mixture:
         run = rows.withColumn("_c", F.sum("tokens").over(w) - F.col("tokens")).join(offsets, ["source", "_b"])
         plan = self.plan_df.select("source", "own_tokens", "quota", "max_passes")
         run = run.join(F.broadcast(plan), "source").withColumn("_at", F.col("_o") + F.col("_c"))
-        last = F.least(F.col("max_passes").cast("bigint"), F.ceil((F.col("quota") - F.col("_at")) / F.greatest("own_tokens", F.lit(1))))
+        last = F.least(F.col("max_passes").cast("bigint"), F.expr("(quota - _at + greatest(own_tokens, 1L) - 1) DIV greatest(own_tokens, 1L)"))
         used = run.where((F.col("_at") < F.col("quota")) & (F.col("max_passes") > 0)).withColumn("pass_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(last, F.lit(1)))))
         used = used.withColumn("start", F.col("_at") + (F.col("pass_no") - 1) * F.col("own_tokens")).where("start < quota")
-        used = used.withColumn("block", F.floor(F.col("start") / self.block))
+        used = used.withColumn("block", F.expr(f"start DIV {self.block}L"))
         return used.join(F.broadcast(self.schedule), ["source", "block"]).select("id", "source", F.col("pass_no").cast("int").alias("pass_no"), "slot", "start", "tokens")
 
     def report(self) -> DataFrame:

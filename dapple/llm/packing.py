@@ -144,3 +144,11 @@ def container_fill(packed: DataFrame, capacity: int) -> DataFrame:
     """``containers``, ``tokens``, ``fill`` (share of the space used) of a packing."""
     rows = packed.where("container IS NOT NULL").groupBy("container").agg(F.sum("tokens").alias("t"))
     return rows.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.max("t").alias("fullest")).withColumn("fill", F.try_divide("tokens", F.col("containers") * capacity))
+
+
+def tightness(packed: DataFrame, capacity: int, slack: float = 0.02) -> DataFrame:
+    """``tokens``, ``least`` (containers that their sum needs), ``whole`` (no container is over its capacity) and ``tight`` (at most ``slack``
+    above ``least``, and one more)."""
+    fill = container_fill(packed, capacity)
+    least = F.expr(f"(tokens + {capacity} - 1) DIV {capacity}")
+    return fill.select("tokens", least.alias("least"), (F.coalesce("fullest", F.lit(0)) <= capacity).alias("whole"), (F.col("containers") <= least * (1 + slack) + 1).alias("tight"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dapple.llm.collapse import FormattingCopies
 from dapple.llm.language import document_languages, fit_language_model, label_errors
 from dapple.llm.mixing import Mixture
-from dapple.llm.packing import container_fill, pack_items
+from dapple.llm.packing import container_fill, pack_items, tightness
 from dapple.llm.terms import marked_terms
 from dapple.llm.tokens import token_count
 from dapple.llm.topn import top_n_per_group
@@ -70,6 +70,10 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container_fill(_packed(spark, sf_dir), CAPACITY)
 
 
+def p8_tightness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tightness(_packed(spark, sf_dir), CAPACITY)
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
     return Mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"), "doc_id", "source", token_count(F.col("text")))
 
@@ -82,6 +86,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).report().select("source", "target_share", "passes", "tokens", "share", "reach")
 
 
+def p9_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source has to supply, and whether the mix supplies it and at most one record more."""
+    mix = _mixture(spark, sf_dir)
+    got = mix.placed().groupBy("source").agg(F.sum("tokens").alias("got"), F.max("tokens").alias("most"), F.max("pass_no").alias("passes"))
+    rows = mix.plan_df.select("source", "quota").join(got, "source", "left").fillna(0, ["got", "most", "passes"])
+    return rows.select("source", "quota", "passes", ((F.col("got") >= F.col("quota")) & (F.col("got") <= F.col("quota") + F.col("most"))).alias("covered"))
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).placed()
 
@@ -100,7 +112,7 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_terms, p3_found, p3_records, p5_found, p5_mapped, p8_found, p8_fill, p9_found, p9_shares, p9_mix, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_terms, p3_found, p3_records, p5_found, p5_mapped, p8_found, p8_fill, p8_tightness, p9_found, p9_shares, p9_quotas, p9_mix, p10_found, p10_segments)}
 
 _TERMS = """
 WITH hit AS (SELECT row_id, coalesce(count, 0) AS c, unnest(regexp_extract_all(lower(label), '[\\p{L}\\p{N}]+')) AS term FROM role_rollup),
@@ -190,6 +202,10 @@ QUALIFY row_number() OVER (PARTITION BY sweep_id, source_file, dimension ORDER B
     "p3_records": _KEYED + """SELECT kept_id, dimension, label, copies FROM kept WHERE raw_id = kept_id
 UNION ALL SELECT raw_id, dimension, label, 1 FROM rollup_raw WHERE dimension IS NULL OR label IS NULL""",
     "p8_found": _TOKENS + "SELECT doc_id, CAST(unnest(range(1, CAST(ceil(tokens / 512) AS BIGINT) + 1)) AS INTEGER) AS piece_no FROM doc WHERE tokens > 512",
+    "p8_tightness": _TOKENS + "SELECT CAST(sum(tokens) AS BIGINT) AS tokens, CAST((sum(tokens) + 511) // 512 AS BIGINT) AS least, true AS whole, true AS tight FROM doc",
+    "p9_quotas": _TOKENS + """, own AS (SELECT m.source, CAST(target_share AS DECIMAL(18, 12)) AS share, max_passes, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS own FROM mix_targets m LEFT JOIN doc d ON m.source = d.source GROUP BY ALL),
+     quota AS (SELECT source, own, CAST(ceil(least(share * (SELECT sum(own) FROM own), CAST(max_passes * own AS DECIMAL(38, 12)))) AS BIGINT) AS quota FROM own)
+SELECT source, quota, CAST(CASE WHEN own > 0 THEN (quota + own - 1) // own ELSE 0 END AS INTEGER) AS passes, true AS covered FROM quota""",
     "p9_found": _TOKENS + """, own AS (SELECT m.source, target_share, max_passes, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS own FROM mix_targets m LEFT JOIN doc d ON m.source = d.source GROUP BY ALL),
      need AS (SELECT *, CASE WHEN own > 0 THEN target_share * (SELECT sum(own) FROM own) / own END AS need FROM own)
 SELECT source, CASE WHEN own = 0 THEN 0 ELSE least(CAST(ceil(need) AS INTEGER), max_passes) END AS passes, CASE WHEN need <= max_passes THEN 'met' ELSE 'short' END AS reach

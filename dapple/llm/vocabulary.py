@@ -120,10 +120,11 @@ SELECT kind, value, rank, own, n, i, substr(form, p, l) AS segment FROM (
 
 def pigeonhole(forms: DataFrame, refs: DataFrame) -> DataFrame:
     """``kind``, ``value``, ``rank``, ``id``, ``scope``, ``own``, ``d``: strings of values (``kind``, ``value``, ``rank``, ``form``, ``own``) within the
-    accepted edits of strings of references (``kind``, ``id``, ``scope``, ``ref``, ``own``, ``most``) of their kind."""
+    accepted edits of strings of references (``kind``, ``id``, ``scope``, ``ref``, ``own``, ``most``) of their kind. A pair that shares
+    several segments comes as often; callers take the least cost, so it isn't made distinct."""
     sql = forms.sparkSession.sql
     pairs = sql("""
-      SELECT DISTINCT p.kind, p.value, p.rank, p.own AS form, s.id, s.scope, s.own, s.most FROM {probes} p JOIN {segments} s
+      SELECT p.kind, p.value, p.rank, p.own AS form, s.id, s.scope, s.own, s.most FROM {probes} p JOIN {segments} s
       ON p.kind = s.kind AND p.n = s.len AND p.i = s.i AND p.segment = s.segment""", probes=sql(_PROBES, forms=forms, refs=refs), segments=sql(_SEGMENTS, refs=refs))
     return sql("SELECT kind, value, rank, id, scope, own, d FROM (SELECT *, levenshtein(form, own, most) AS d FROM {pairs}) WHERE d >= 0", pairs=pairs)
 
@@ -140,7 +141,7 @@ def match_values(values: DataFrame, refs: DataFrame, scopes: DataFrame | None =
     sql = spark.sql
     refs = written(sql(f"SELECT DISTINCT id, scope, words, {_compact('words')} AS ref FROM {{refs}} WHERE words != ''", refs=refs), "refs")
     wanted = scopes if scopes is not None else sql("SELECT value, CAST(NULL AS STRING) AS scope FROM {values}", values=values)
-    wanted = written(sql("SELECT DISTINCT value, scope FROM {w} WHERE value IS NOT NULL", w=wanted), "wanted")
+    wanted = sql("SELECT DISTINCT value, scope FROM {w} WHERE value IS NOT NULL", w=wanted)
     forms = written(sql(_FORMS, values=wanted), "forms")
     rotated = written(sql(_ROTATED, forms=forms, refs=refs), "rotated")
     nothing = ", ".join("'" + x.replace(" ", "") + "'" for x in NOTHING)
@@ -165,12 +166,12 @@ def match_values(values: DataFrame, refs: DataFrame, scopes: DataFrame | None =
       UNION ALL SELECT 'run', value, rank, part, part FROM (SELECT value, rank, explode(transform(filter(flatten(transform(sequence(1, size(w)), a -> transform(sequence(a, least(size(w), a + longest - 1)), b -> struct(a, b)))), s -> s.b - s.a + 1 < size(w)),
           s -> array_join(slice(w, s.a, s.b - s.a + 1), ' '))) AS part FROM (SELECT *, (SELECT coalesce(max(size(split(words, ' '))), 1) FROM {{refs}}) AS longest FROM {{plain}}))
       {"UNION ALL SELECT 'word', value, rank, words, words FROM {plain} WHERE size(w) = 1" if loose else ""}""", whole=whole, plain=plain, refs=refs)
-    of_refs = written(sql(f"""
+    of_refs = sql(f"""
       SELECT 'near' AS kind, id, scope, ref, ref AS own, {accepted("char_length(ref)")} AS most FROM {{refs}}
       UNION ALL SELECT 'letters', id, scope, {_SORTED.format("ref")}, ref, {accepted("char_length(ref)")} + 1 FROM {{refs}}
       UNION ALL SELECT 'head', id, scope, head, head, 0 FROM (SELECT id, scope, explode(transform(sequence({MIN_PREFIX}, char_length(ref) - 1), n -> substr(ref, 1, n))) AS head FROM {{refs}} WHERE char_length(ref) > {MIN_PREFIX})
       UNION ALL SELECT 'run', id, scope, words, words, 0 FROM {{refs}}
-      UNION ALL SELECT 'word', id, scope, word, word, 0 FROM (SELECT id, scope, explode(split(words, ' ')) AS word FROM {{refs}})""", refs=refs), "ref-forms")
+      UNION ALL SELECT 'word', id, scope, word, word, 0 FROM (SELECT id, scope, explode(split(words, ' ')) AS word FROM {{refs}})""", refs=refs)
     found = pigeonhole(written(of_values, "open-forms"), of_refs)
     cost = f"CASE kind WHEN 'head' THEN {HEAD} + CASE WHEN rtrim(e.value) LIKE '%.' THEN 0 ELSE {DOTLESS} END WHEN 'run' THEN {RUN} + 10 / char_length(replace(e.own, ' ', '')) WHEN 'word' THEN {WORD} ELSE 10 * d END + e.rank"
     close = sql(best, found=sql(f"SELECT w.value, w.scope, e.id, {cost} AS cost FROM {{e}} e " + in_scope, e=found, w=rest))

@@ -41,6 +41,8 @@ def test_packs_all_within_capacity(spark, monkeypatch, rounds):
     fill = container_fill(packed, 100).first()
     assert fill.containers == len(sizes) and fill.tokens == sum(n or 0 for _, n, *_ in rows)
     assert fill.fill > 0.9
+    bound = packing.tightness(packed, 100, 0.1).first()
+    assert bound.least == -(-sum(n or 0 for _, n, *_ in rows) // 100) <= fill.containers and bound.whole and bound.tight
 
 
 def test_empty_and_bad_arguments(spark):
