@@ -221,44 +221,17 @@ def semantic_clean(df: DataFrame, by: list[str], embed: Embed = hash_embedding,
     return out.unionByName(sums.where(same))
 
 
-def medoid_clusters(tokens: list[str], embed: Embed = hash_embedding, threshold: float = COSINE, least: int = 4) -> list[str]:
-    """Connected components at ``threshold`` of at least ``least`` members take the name of the member most like the others;
-    others keep their own. Declared stand-in for a density clustering."""
-    v = embed(tokens)
-    sim = v @ v.T
-    names, seen = list(tokens), np.zeros(len(tokens), bool)
-    for i in range(len(tokens)):
-        if seen[i]:
-            continue
-        part, edge = {i}, [i]
-        while edge:
-            for j in np.flatnonzero(sim[edge.pop()] >= threshold):
-                if int(j) not in part:
-                    part.add(int(j))
-                    edge.append(int(j))
-        members = sorted(part)
-        seen[members] = True
-        if len(members) >= least:
-            name = tokens[members[int(sim[np.ix_(members, members)].mean(axis=1).argmax())]]
-            for m in members:
-                names[m] = name
-    return names
-
-
-def nearest_enum(values: list[str], enum: list[str], embed: Embed = hash_embedding, least_ratio: float = ENUM_RATIO, least_cosine: float = ENUM_COSINE) -> list[str]:
-    """The enum value of each text: nearly equal words, else the nearest vector, else the text itself."""
-    words = {e: " ".join(sorted(set(e.replace("_", " ").split()))) for e in enum}
-    ev = embed([e.replace("_", " ") for e in enum])
-    out = []
-    for value, v in zip(values, embed([x.replace("_", " ") for x in values]) if values else [], strict=True):
-        own = " ".join(sorted(set(value.replace("_", " ").split())))
-        scored = max(enum, key=lambda e: (SequenceMatcher(None, own, words[e]).ratio(), e))
-        if SequenceMatcher(None, own, words[scored]).ratio() >= least_ratio:
-            out.append(scored)
-            continue
-        scores = ev @ v
-        out.append(enum[int(scores.argmax())] if scores.max() >= least_cosine else value)
-    return out
+def token_set_ratio(a: str, b: str) -> float:
+    """The highest ratio among the words both have, these and the rest of a, and these and the rest of b; 1 if one's words are all in the other."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, left, right = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    if both and (not left or not right):
+        return 1.0
+    one, other = f"{both} {left}".strip(), f"{both} {right}".strip()
+    pairs = [(one, other)] + ([(both, one), (both, other)] if both else [])
+    return max(SequenceMatcher(None, p, q).ratio() for p, q in pairs)
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:

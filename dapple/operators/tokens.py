@@ -164,14 +164,3 @@ def spatial_layout(rows: DataFrame) -> DataFrame:
     g = rows.select(plane.alias("plane"), side.alias("side"), "count").where("plane IS NOT NULL").groupBy("plane", "side").agg(F.sum("count").alias("count"))
     total = g.agg(F.sum("count")).scalar()
     return g.withColumn("share", F.try_divide(F.col("count").cast("double"), total))
-
-
-def scene_counts(docs: DataFrame, column: str = "scene") -> DataFrame:
-    """Counts of the objects in rich scene documents at the paths by type, type and subtype, and position, with the sum
-    and number of exact quantities."""
-    schema = "struct<objects:array<struct<type:string,subtype:string,plane:string,side:string,quantity:struct<exact:bigint>>>>"
-    o = docs.select(F.explode(F.from_json(column, schema)["objects"]).alias("o")).select("o.*").where(is_token(F.col("type")))
-    g = o.withColumns({"position": F.when(F.col("plane").isNotNull() & F.col("side").isNotNull(), F.concat_ws(".", "plane", "side")), "q": F.col("quantity.exact")})
-    rows = g.groupingSets([["type"], ["type", "subtype"], ["position"]], "type", "subtype", "position").agg(F.count(F.lit(1)).alias("count"), F.sum("q").alias("exact_sum"), F.count("q").alias("exact_present_count"), F.grouping_id().alias("_g"))
-    path = F.when(F.col("_g") == 3, F.lit("by_type")).when(F.col("_g") == 1, F.lit("by_type_subtype")).otherwise(F.lit("by_position"))
-    return rows.select(path.alias("path"), "type", "subtype", "position", "count", "exact_sum", "exact_present_count").where("NOT (path = 'by_position' AND position IS NULL)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dapple.operators import agreement as A
 from dapple.operators import tokens as T
+from dapple.operators.scenes import SceneCounts
 from dapple.plans.common import OBS, observations, rounded
 from dapple.runtime import read_table
 from dapple.sources import paths as P
@@ -274,3 +275,78 @@ def a35(spark, sf_dir):
 @query("b06_x12_fleiss_interval")
 def b06(spark, sf_dir):
     return A.fleiss_interval(A.category_counts(_majority(spark, sf_dir), 4), 4, ["stem"])
+
+
+def _scenes(spark, sf_dir):
+    """Scene documents made from the audit records: an item is an object whose last word is its type and whose place follows its number."""
+    r = records(spark, sf_dir)
+    j = lambda path: F.col(f"json.cohorts.{path}")
+    garments = lambda p: F.transform(F.coalesce(F.from_json(p["clothing"], "array<struct<clothing_garment:string,clothing_color:string>>"), F.array()), lambda c: F.struct(c["clothing_garment"].alias("garment_type"), T.as_list(c["clothing_color"]).alias("color")))
+    node = lambda p, present, style, colour, name="style": F.struct(p[present].alias("present"), p[style].alias(name), *([p[colour].alias("color")] if colour else []))
+    person = lambda p: F.struct(
+        p["gender_presentation"].alias("gender_presentation"), p["skin_tone"].alias("skin_tone"), p["age_range"].alias("age_range"), p["pose"].alias("pose"), T.as_list(p["activities"]).alias("activities"),
+        node(p, "hair_present", "hair_style", "hair_color").alias("hair"), node(p, "facial_hair_present", "facial_hair_style", "facial_hair_color").alias("facial_hair"),
+        node(p, "eyewear_present", "eyewear_type", None, "type").alias("eyewear"), node(p, "head_covering_present", "head_covering_type", None, "type").alias("head_covering"), garments(p).alias("clothing"),
+    )
+    plane = lambda i: F.when(i == 0, "foreground").when(i == 1, "midground").otherwise("background")
+    objects = F.transform("items", lambda x, i: F.struct(F.element_at(F.split(x, " "), -1).alias("type"), x.alias("subtype"), plane(i).alias("plane"), F.lit("left").alias("side"), F.struct(F.length(x).alias("exact")).alias("quantity")))
+    scene = F.struct(
+        F.struct(j("scene_appearance.mood").alias("mood"), T.as_list(j("scene_appearance.dominant_colors")).alias("dominant_palette"), F.struct(j("scene_appearance.color_temperature").alias("color_temperature"), T.as_list(j("scene_appearance.aesthetic_qualities")).alias("aesthetic_qualities")).alias("lighting_profile")).alias("atmosphere"),
+        F.struct(j("scene_appearance.weather").alias("weather")).alias("environment"), F.struct(F.transform("persons", person).alias("persons")).alias("people"), objects.alias("objects"),
+        F.struct(*[j(f"camera.{c}").alias(c) for c in ("perspective", "depth_of_field", "framing")]).alias("camera"),
+    )
+    return r.select(F.to_json(scene).alias("scene"))
+
+
+_CLEAN = "trim(regexp_replace(lower(strip_accents(v)), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+_STOP = "'a', 'an', 'and', 'the', 'of', 'for', 'to', 'in', 'on', 'at', 'from', 'with', 'this', 'that', 'is', 'are', 'was', 'were', 'be', 'been', 'as', 'it', 'its', 'their', 'his', 'her', 'your', 'our'"
+_NORM = f"array_to_string(list_transform(list_filter(string_split({_CLEAN}, ' '), lambda w: w <> '' AND w NOT IN ({_STOP})), lambda w: CASE WHEN length(w) > 3 AND suffix(w, 's') AND NOT suffix(w, 'ss') THEN w[1:-2] ELSE w END), '_')"
+
+
+def _sql_found(path: str, kind: str, source: str, x: str, many: bool = False) -> str:
+    value = f"unnest({_sql_list(x)})" if many else f"({x})->>'$'"
+    name = {"cluster": _NORM, "enum": f"coalesce(nullif({_CLEAN}, ''), 'unknown')", "colour": f"replace({_CLEAN}, ' ', '_')"}[kind]
+    return f"SELECT '{path}' AS path, {name} AS value FROM (SELECT trim(v) AS v FROM (SELECT {value} AS v FROM {source})) WHERE v <> ''"
+
+
+_PEOPLE = "(SELECT unnest(persons) AS p FROM lists)"
+_SCENE = _WHOLE.rstrip() + ", v AS (" + " UNION ALL ".join([
+    _sql_found("atmosphere.mood", "cluster", "lists", "j->'$.cohorts.scene_appearance.mood'"), _sql_found("atmosphere.dominant_palette", "colour", "lists", "(j->'$.cohorts.scene_appearance.dominant_colors')", True),
+    _sql_found("atmosphere.lighting_profile.color_temperature", "enum", "lists", "j->'$.cohorts.scene_appearance.color_temperature'"), _sql_found("atmosphere.lighting_profile.aesthetic_qualities", "cluster", "lists", "(j->'$.cohorts.scene_appearance.aesthetic_qualities')", True),
+    _sql_found("environment.weather", "cluster", "lists", "j->'$.cohorts.scene_appearance.weather'"),
+    *[_sql_found(f"camera.{c}", k, "lists", f"j->'$.cohorts.camera.{c}'") for c, k in (("perspective", "cluster"), ("depth_of_field", "enum"), ("framing", "cluster"))],
+    *[_sql_found(f"people.demographics.{c}", "enum", _PEOPLE, f"p->'$.{c}'") for c in ("gender_presentation", "skin_tone", "age_range")],
+    _sql_found("people.pose_activity.pose", "cluster", _PEOPLE, "p->'$.pose'"), _sql_found("people.pose_activity.activities", "cluster", _PEOPLE, "(p->'$.activities')", True),
+    *[_sql_found(f"people.appearance.{s}.present", "enum", _PEOPLE, f"p->'$.{s}_present'") for s in ("hair", "facial_hair", "eyewear", "head_covering")],
+    *[_sql_found(f"people.appearance.{s}.{c}", k, _PEOPLE, f"p->'$.{s}_{c}'") for s, c, k in (("hair", "style", "cluster"), ("hair", "color", "colour"), ("facial_hair", "style", "cluster"), ("facial_hair", "color", "colour"), ("eyewear", "type", "cluster"), ("head_covering", "type", "cluster"))],
+]) + f"""), o AS (SELECT string_split(x, ' ')[-1] AS type, x AS subtype, CASE no WHEN 1 THEN 'foreground' WHEN 2 THEN 'midground' ELSE 'background' END AS plane, 'left' AS side, length(x) AS exact FROM (SELECT unnest(items) AS x, generate_subscripts(items, 1) AS no FROM lists)),
+known AS (SELECT coalesce(nullif(trim(type), ''), 'unknown') AS type, coalesce(nullif(trim(subtype), ''), 'unknown') AS subtype, plane, side, exact FROM o),
+objects AS (SELECT {_NORM.replace("(v)", "(type)")} AS type, {_NORM.replace("(v)", "(subtype)")} AS subtype, plane, side, exact FROM known)
+"""
+
+
+@query("a30_x64_scene_values", _SCENE + " SELECT path, value, count(*) AS count FROM (SELECT * FROM v UNION ALL SELECT 'objects.type', type FROM objects UNION ALL SELECT 'objects.subtype', subtype FROM objects UNION ALL SELECT 'objects.plane', plane FROM objects UNION ALL SELECT 'objects.side', side FROM objects) GROUP BY ALL")
+def a30_values(spark, sf_dir):
+    return SceneCounts(_scenes(spark, sf_dir), embed=None).value_counts()
+
+
+@query("a30_x64_scene_objects", _SCENE + """, pair AS (SELECT *, type || '|||' || subtype AS pair, plane || '.' || side AS position FROM objects), b AS (SELECT 'by_type' AS section, type AS bucket, * FROM pair UNION ALL SELECT 'by_type_subtype', pair, * FROM pair)
+SELECT section, bucket, 'count' AS field, '' AS value, count(*) AS count FROM b GROUP BY ALL UNION ALL SELECT section, bucket, 'quantity.exact_sum', '', CAST(sum(exact) AS BIGINT) FROM b GROUP BY ALL UNION ALL SELECT section, bucket, 'quantity.exact_present_count', '', count(exact) FROM b GROUP BY ALL
+UNION ALL SELECT section, bucket, 'positions.plane_side', position, count(*) FROM b GROUP BY ALL UNION ALL SELECT 'by_type', type, 'by_subtype', subtype, count(*) FROM pair GROUP BY ALL
+UNION ALL SELECT 'by_position', position, 'type_counts', type, count(*) FROM pair GROUP BY ALL UNION ALL SELECT 'by_position', position, 'type_subtype_counts', pair, count(*) FROM pair GROUP BY ALL
+UNION ALL SELECT 'by_position', position, 'total', '', CAST(sum(n) AS BIGINT) FROM (SELECT position, 1 AS n FROM pair UNION ALL SELECT p || '.' || s, 0 FROM (SELECT unnest(['foreground', 'midground', 'background']) AS p), (SELECT unnest(['left', 'center', 'right']) AS s)) GROUP BY ALL""")
+def a30_objects(spark, sf_dir):
+    return SceneCounts(_scenes(spark, sf_dir), embed=None).object_counts()
+
+
+@query("a30_scene_garments", _SCENE + f""", g AS (SELECT unnest(CASE json_type(c) WHEN 'ARRAY' THEN json_extract(c, '$[*]') WHEN 'OBJECT' THEN [c] ELSE [] END) AS g FROM (SELECT p->'$.clothing' AS c FROM {_PEOPLE})),
+n AS (SELECT g, {_NORM} AS bucket FROM (SELECT g, coalesce(nullif(trim(g->>'$.clothing_garment'), ''), 'unknown') AS v FROM g WHERE json_type(g) = 'OBJECT')),
+c AS (SELECT bucket, trim(v) AS v FROM (SELECT bucket, unnest({_sql_list("(g->'$.clothing_color')")}) AS v FROM n))
+SELECT bucket, 'count' AS field, '' AS value, count(*) AS count FROM n GROUP BY ALL UNION ALL SELECT bucket, 'color', replace({_CLEAN}, ' ', '_') AS value, count(*) FROM c WHERE v <> '' GROUP BY ALL""")
+def a30_garments(spark, sf_dir):
+    return SceneCounts(_scenes(spark, sf_dir), embed=None).garment_counts()
+
+
+@query("c04_c05_c06_c07_c08_scene_names")
+def c05(spark, sf_dir):
+    return SceneCounts(_scenes(spark, sf_dir)).names

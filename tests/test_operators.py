@@ -101,8 +101,6 @@ def test_standards_and_clusters(spark):
     assert got["hair color"] == got["hair colors"] == got["hair_color"] == "hair_color" and got["??"] == "??" and got["Mood"] == got["mood"]
     names = S.online_clusters(["red apple", "red apples", "sky"], [1, 5, 1])
     assert names[0] == names[1] == "red_apples" and names[2] == "sky"
-    assert S.medoid_clusters(["a", "zz"]) == ["a", "zz"]
-    assert S.nearest_enum(["dark_blue", "qqqqqq"], ["blue_dark", "red"]) == ["blue_dark", "qqqqqq"]
     kept = S.keep_unlike(spark.createDataFrame([("r", "open the gate", 1), ("r", "open the gates", 2), ("r", "paint", 3), ("r", None, 4)], "role string, t string, o int"), ["role"], "t", "o")
     assert {r.t for r in kept.collect()} == {"open the gate", "paint"}
     counts = spark.createDataFrame([("people", "hair", "Dark-Blue", 2), ("people", "hair", "dark blue", 1), ("totals", "images", "images", 4), ("people", "role_hint", "x", 1), ("people", "hair", None, 1)], "cohort string, dimension string, label string, count bigint")
