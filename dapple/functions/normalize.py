@@ -8,8 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dapple.functions.stats import half_even
-
 #: Context names and their short forms.
 CONTEXTS = {
     "CF": ("Context-free_CF", "CF", "Context_Free_CF"),
@@ -274,8 +272,15 @@ def plane_side(x: Column) -> tuple[Column, Column]:
 
 
 def digits(x: Column, n: int) -> Column:
-    """A number with n digits after the point, rounded half to even."""
-    return F.format_string(f"%.{n}f", half_even(x, n))
+    """A number with n digits after the point: its exact binary value rounded, halves to even, as ``%.nf`` does in C. Null stays null."""
+    scale = float(10**n)
+    y = x * scale  # the nearest double; its error is exact, from the upper and lower half of x's bits
+    big = x * 134217729.0
+    high = big - (big - x)
+    error = (high * scale - y) + (x - high) * scale
+    tie = y - F.floor(y) == 0.5
+    whole = F.when(tie & (error > 0), F.floor(y) + 1).when(tie & (error < 0), F.floor(y)).otherwise(F.rint(y))
+    return F.when(x.isNotNull(), F.format_string(f"%.{n}f", whole.cast("double") / scale))
 
 
 def percent_p(p: Column) -> Column:
@@ -294,14 +299,17 @@ def prevalence_cell(share: Column) -> Column:
 
 
 def _plain_letters() -> tuple[str, str]:
-    """Characters of the basic plane that decompose into one character and accents, and that character."""
-    pairs = []
+    """Characters of the basic plane that decompose into one character and accents, and that character; at the end those that
+    are accents only, which go."""
+    pairs, gone = [], ""
     for code in range(0xA0, 0x10000):
         if not 0xD800 <= code < 0xE000:
             plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
             if len(plain) == 1 and plain != chr(code):
                 pairs.append((chr(code), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+            elif not plain:
+                gone += chr(code)
+    return "".join(a for a, _ in pairs) + gone, "".join(b for _, b in pairs)
 
 
 _ACCENTED, _UNACCENTED = _plain_letters()

@@ -1,4 +1,5 @@
 import math
+import unicodedata
 
 import numpy as np
 import pytest
@@ -86,3 +87,24 @@ def test_label_dispatch(spark):
     rows = [("objects", "object_counts_by_position", "item: x; left foreground", "foreground left"), ("people", "gender_presentation", "Female", "female"), ("scene", "palette", "dark grey sky", "gray"), ("scene", "mood", "calm mood", "calm"), ("scene", "mood", "", "unknown"), ("people", "activities", " activity ", "unknown"), ("camera", "framing", "n/a", "unknown"), ("x", "lamps", "natural", "unknown")]
     got = one(spark, rows, "c string, d string, l string, w string", y=N.label(F.col("c"), F.col("d"), F.col("l")), w=F.col("w"))
     assert [r.y for r in got] == [r.w for r in got]
+
+
+def test_accents_and_lemmas(spark):
+    texts = ["Éclair du Jour", "ﾊﾞｽ", "ÀÇñőŁß", "été", "The Boxes of glass, gas-lamps", "Ёлка", None, ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(N.strip_accents(F.col("t")).alias("s"), N.snake(F.col("t")).alias("k"), N.norm_text(F.col("t")).alias("n")).collect()
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    assert [r.s for r in got] == [None if t is None else plain(t) for t in texts]
+    assert got[4].k == "the_boxes_of_glass_gas_lamps" and got[4].n == "boxe glass gas lamp" and got[6].k == got[6].n == ""
+
+
+def test_cells_and_medians(spark):
+    rows = [(93.25, 0.725), (93.35, 0.125), (None, None), (0.04, 1.0), (100.0, 0.0)]
+    got = spark.createDataFrame(rows, "a double, p double").select(N.robustness_cell(F.col("a"), F.col("p")).alias("r"), N.prevalence_cell(F.col("a")).alias("b"), N.percent_p(F.col("p")).alias("p")).collect()
+    text = lambda x, n: "nan" if x is None else f"{x:.{n}f}"
+    assert [r.r for r in got] == [f"{text(a, 1)}/{text(p, 2).removeprefix('0')}" for a, p in rows]
+    assert [r.b for r in got] == ["" if a is None else f"{a:.1f}" for a, _ in rows] and [r.p for r in got] == [".72", ".12", "", "1.00", ".00"]
+    rng = np.random.default_rng(2)
+    data = [("ab"[i % 2], "xy"[i % 3 > 0], float(v) if i % 7 else None) for i, v in enumerate(rng.choice([0.5, 1.25, 3.0, 3.1, 50.0, *rng.random(20)], 301))]
+    found = {(r._set, r.g, r.h): r.median for r in S.medians(spark.createDataFrame(data, "g string, h string, v double"), "v", [["g", "h"], ["g"], []]).collect()}
+    for key, pick in ((("a", "x"), lambda r: r[:2] == ("a", "x")), (("b", None), lambda r: r[0] == "b"), ((None, None), lambda r: True)):
+        assert found[(2 - sum(k is not None for k in key), *key)] == pytest.approx(np.median([r[2] for r in data if pick(r) and r[2] is not None]))

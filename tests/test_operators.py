@@ -15,7 +15,7 @@ from dapple.operators import tokens as T
 from dapple.operators import uniformity as U
 from dapple.operators.copies import link_copies
 from dapple.sources import paths
-from dapple.streaming.incremental import dead_letters, follow, running_counts
+from dapple.streaming.incremental import dead_letters, follow, resend, running_counts
 
 OBS = "model string, context string, occupation string, type string, prompt string, cohort string, dimension string, label string, count bigint"
 
@@ -135,10 +135,19 @@ def test_tokens_and_validation(spark):
     assert got == {(1, "mood", "calm"), (1, "dominant_colors", "red"), (1, "pose", "sit"), (1, "activities", "run"), (1, "clothing_garment", "hat"), (1, "items", "a"), (1, "items", "b"), (2, "framing", "odd"), (2, "items", "a"), (2, "items", "b"), (2, "items", "c")}
     assert tuple(T.totals(recs).first()) == (3, 3, 6)
     vocab = spark.createDataFrame([("mood", "calm"), ("framing", "tight")], "dimension string, label string")
-    assert {tuple(r) for r in T.validate(recs, vocab).collect()} == {(2, "extra_key", "extra"), (2, "too_many_items", "items"), (2, "enum", "framing")}
-    scenes = spark.createDataFrame([(json.dumps({"objects": [{"type": "mop", "subtype": "wet", "plane": "foreground", "side": "left", "quantity": {"exact": 2}}, {"type": "mop"}, {"type": "unknown"}]}),)], "scene string")
-    rows = {(r.path, r.type, r.subtype, r.position): (r["count"], r.exact_sum) for r in T.scene_counts(scenes).collect()}
-    assert rows[("by_type", "mop", None, None)] == (2, 2) and rows[("by_position", None, None, "foreground.left")] == (1, 2)
+    assert {tuple(r) for r in T.validate(recs, vocab).collect()} == {(2, "extra_key", "extra"), (2, "too_many_items", "items"), (2, "literal", "framing")}
+
+
+def test_validation_at_every_depth(spark):
+    person = {"pose": "sit", "shoes": 1, "eyewear_present": "maybe", "facial_hair_color": "reddish", "clothing": [{"clothing_garment": "hat", "clothing_color": ["red", "blurple"], "fit": "x"}]}
+    record = {"image": {"image_id": "1", "size": 3}, "cohorts": {"camera": {"framing": "tight", "iso": 1}, "people": {"persons": [person, person]}, "objects": {"items": [], "count": 2}, "sky": {}}}
+    recs = T.parsed(spark.createDataFrame([(1, json.dumps(record)), (2, "{}")], "record_id bigint, record string"))
+    vocab = spark.createDataFrame([("framing", "tight"), ("dominant_colors", "red"), (None, "x")], "dimension string, label string")
+    errors = T.validate(recs, vocab)
+    rows = [tuple(r) for r in errors.collect()]
+    places = {"image.size", "cohorts.sky", "cohorts.camera.iso", "cohorts.objects.count", "people.persons.shoes", "people.persons.clothing.fit"}
+    assert set(rows) == {(1, "extra_key", p) for p in places} | {(1, "literal", "eyewear_present"), (1, "literal", "facial_hair_color"), (1, "literal", "clothing_color")} and len(rows) == 9
+    assert [r.id for r in T.colour_errors(errors).collect()] == [1]
 
 
 def test_stream_takes_only_what_is_new(spark, tmp_path):
@@ -173,3 +182,49 @@ def test_count_files(spark, tmp_path):
 def test_link_copies(spark):
     rows = spark.createDataFrame([("k", 3), ("k", 1), ("j", 2), ("k", 7)], "key string, id bigint")
     assert {(r.id, r.kept.id) for r in link_copies(rows, ["key"], ["id"]).collect()} == {(3, 1), (7, 1)}
+
+
+def test_dead_letters_come_again(spark, tmp_path):
+    schema = "record_id bigint, record string"
+    spark.createDataFrame(RECORDS, schema).write.parquet(f"{tmp_path}/in/a")
+    out = f"file://{tmp_path}/out"
+    follow(spark, f"file://{tmp_path}/in/*", schema, out)
+    first = running_counts(spark, out).agg(F.sum("count")).first()[0]
+    again = spark.createDataFrame([(3, json.dumps({"cohorts": {"camera": {"framing": "tight"}}})), (4, "still {"), (1, RECORDS[0][1])], schema)
+    for _ in range(2):  # an attempt that is run again changes nothing
+        assert [r.record_id for r in resend(spark, out, again, "1").collect()] == [3]
+        assert running_counts(spark, out).agg(F.sum("count")).first()[0] == first + 1
+        assert {r.record_id for r in dead_letters(spark, out).collect()} == {4}
+    assert resend(spark, out, again, "2").count() == 0
+
+
+def test_dense_rows_in_blocks_of_occupations(obs, monkeypatch):
+    columns = ["context", "occupation", "label", "count", "obs_context", "n_occ", "n_context", "n_all", "bins", "exp_occ"]
+    whole = Counter(map(tuple, D.dense_fact(obs).select(*D.GROUP, *columns).collect()))
+    monkeypatch.setattr(D, "OCCUPATIONS", 1)
+    assert Counter(map(tuple, D.dense_fact(obs).select(*D.GROUP, *columns).collect())) == whole and whole
+
+
+def test_weights_are_bounded(obs, monkeypatch):
+    monkeypatch.setattr(B, "MOST_WEIGHTS", 5)
+    with pytest.raises(ValueError):
+        B.trajectories(D.dense_fact(obs), D.POOLED, replicates=5)
+
+
+def test_scores_errors_and_retries(spark):
+    items = spark.range(6).select(F.concat(F.lit("text "), "id").alias("t")).repartition(2)
+
+    def broken(texts):
+        if len(texts) and texts[0] != "":
+            raise RuntimeError("no answer")
+
+    rows = P.scored(items, "t", broken).collect()
+    assert len(rows) == 6 and all(r.score.relevance == 3 and r.error == "RuntimeError: no answer" for r in rows)
+    assert all("0 answers" in r.error for r in P.scored(items, "t", lambda texts: []).collect())
+    assert all(r.error is None for r in P.scored(items, "t").collect())
+
+    def half(df):
+        return df.select("t", F.when(F.col("t").endswith("1") | F.col("t").endswith("3"), F.lit("bad")).alias("error"))
+
+    out = P.retried(items, half, passes=3).collect()
+    assert len(out) == 6 and {(r.t, r.pass_no) for r in out if r.error} == {("text 1", 3), ("text 3", 3)} and {r.pass_no for r in out if not r.error} == {1}
