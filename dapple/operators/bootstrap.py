@@ -89,15 +89,23 @@ def family_means(rows: DataFrame) -> DataFrame:
     return over_models(by_model, "dimension_family")
 
 
-def differences(rows: DataFrame, pairs: tuple = PAIRS, ci: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
-    """Differences between contexts by family: the point, the mean over replicates and their percentile interval."""
+def _differences(rows: DataFrame, pairs: tuple) -> DataFrame:
     names = F.explode(F.array(*[F.struct(F.lit(a).alias("hi"), F.lit(b).alias("lo")) for a, b in pairs])).alias("pair")
     hi = rows.select("dimension_family", "replicate", F.col("context_short").alias("hi"), F.col("bi").alias("a"))
     lo = rows.select("dimension_family", "replicate", F.col("context_short").alias("lo"), F.col("bi").alias("b"))
     both = rows.select("dimension_family", "replicate").distinct().select("*", names).select("dimension_family", "replicate", "pair.hi", "pair.lo").join(hi, ["dimension_family", "replicate", "hi"]).join(lo, ["dimension_family", "replicate", "lo"])
-    d = both.withColumn("d", F.col("a") - F.col("b"))
+    return both.select("dimension_family", F.concat_ws(" - ", "hi", "lo").alias("comparison"), "replicate", (F.col("a") - F.col("b")).alias("d"))
+
+
+def points(rows: DataFrame, pairs: tuple = PAIRS) -> DataFrame:
+    """``point_estimate`` of the differences between contexts by family, without replicates."""
+    return _differences(rows, pairs).where("replicate = 0").select("dimension_family", "comparison", F.col("d").alias("point_estimate"))
+
+
+def differences(rows: DataFrame, pairs: tuple = PAIRS, ci: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+    """Differences between contexts by family: the point, the mean over replicates and their percentile interval."""
     boot = F.when(F.col("replicate") > 0, F.col("d"))
-    g = d.groupBy("dimension_family", F.concat_ws(" - ", "hi", "lo").alias("comparison")).agg(
+    g = _differences(rows, pairs).groupBy("dimension_family", "comparison").agg(
         F.max(F.when(F.col("replicate") == 0, F.col("d"))).alias("point_estimate"), F.avg(boot).alias("bootstrap_mean"),
         F.percentile(boot, F.lit(ci[0])).alias("ci_low"), F.percentile(boot, F.lit(ci[1])).alias("ci_high"), F.count(boot).alias("n_replicates"),
     )

@@ -337,6 +337,25 @@ def b01_point(spark, sf_dir):
     return rounded(rows.select("model", "context_short", "dimension", "bi"))
 
 
+_FAMILY = "CASE cohort WHEN 'people' THEN 'People' WHEN 'objects' THEN 'Objects' WHEN 'camera' THEN 'Camera' ELSE 'Scene' END"
+_POINTS = DENSE + f""", bi AS (SELECT model, {sql_short("context")} AS ctx, dimension, {_FAMILY} AS family, {sql_concentration("c")} AS bi FROM (
+  SELECT model, context, dimension, min(cohort) AS cohort, label, sum(count)::DOUBLE AS c FROM dense WHERE prompt_group = 'ALL_TYPES' AND count > 0 GROUP BY model, context, dimension, label) GROUP BY model, context, dimension, cohort),
+fam AS (SELECT model, ctx, family, avg(bi) AS bi FROM bi GROUP BY ALL), avgs AS (SELECT ctx, family, avg(bi) AS bi FROM fam GROUP BY ALL HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM fam)),
+pairs AS (SELECT * FROM (VALUES ('CA-U', 'CF'), ('CA-R', 'CF'), ('CA-U', 'CA-R')) t(hi, lo))
+"""
+
+
+@query("b02_b03_family_points", _POINTS + "SELECT a.family AS dimension_family, hi || ' - ' || lo AS comparison, round(a.bi - b.bi, 9) + 0.0 AS point_estimate FROM pairs JOIN avgs a ON a.ctx = hi JOIN avgs b ON b.ctx = lo AND a.family = b.family")
+def b02_points(spark, sf_dir):
+    return rounded(B.points(B.family_means(_trajectories(spark, sf_dir, replicates=0))))
+
+
+@query("b04_headline_point", _POINTS + ", mean AS (SELECT ctx, avg(bi) AS bi FROM avgs GROUP BY ALL) SELECT 'All' AS dimension_family, hi || ' - ' || lo AS comparison, round(a.bi - b.bi, 9) + 0.0 AS point_estimate FROM pairs JOIN mean a ON a.ctx = hi JOIN mean b ON b.ctx = lo WHERE hi = 'CA-U' AND lo = 'CF'")
+def b04_point(spark, sf_dir):
+    mean = B.family_means(_trajectories(spark, sf_dir, replicates=0)).groupBy("context_short", "replicate").agg(F.avg("bi").alias("bi")).withColumn("dimension_family", F.lit("All"))
+    return rounded(B.points(mean, (B.PAIRS[0],)))
+
+
 @query("b02_b03_x12_family_differences")
 def b02_family(spark, sf_dir):
     return B.differences(B.family_means(_trajectories(spark, sf_dir)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dapple.operators.compaction import compact
 from dapple.operators.drift import SchemaDrift
@@ -20,6 +21,12 @@ def p4_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact(read_table(spark, sf_dir, "tiny_files")).bins
 
 
+def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the bins of each kind hold in all."""
+    bins = compact(read_table(spark, sf_dir, "tiny_files")).bins
+    return bins.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("files", "bytes", "records")])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = FlatTables(read_table(spark, sf_dir, "audit_records"))
     return flat.rows().select("record_id", "child", "person_no", "clothing_no", "pos", "value")
@@ -38,7 +45,13 @@ def p7_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.table(drift.changes(), "audit")
 
 
-QUERIES = {"p4_found": p4_found, "p4_bins": p4_bins, "p6_found": p6_found, "p6_persons": p6_persons, "p7_found": p7_found, "p7_table": p7_table}
+def p7_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the table of reports, without their fields: none is lost or doubled."""
+    drift = SchemaDrift(read_table(spark, sf_dir, "drift_files"))
+    return drift.table(drift.changes(), "summary_report").select("stream", "file_seq", "line_no", "record_id")
+
+
+QUERIES = {"p4_kept": p4_kept, "p7_rows": p7_rows, "p4_found": p4_found, "p4_bins": p4_bins, "p6_found": p6_found, "p6_persons": p6_persons, "p7_found": p7_found, "p7_table": p7_table}
 
 
 def _texts(x: str) -> str:
@@ -58,8 +71,7 @@ _PERSONS = f"""WITH whole AS (SELECT record_id, CAST(record AS JSON)->'cohorts'
 parts AS (SELECT record_id, CASE WHEN json_type(c->'objects') = 'OBJECT' THEN c->'objects'->'items' ELSE c->'objects' END AS items, CASE WHEN json_type(c->'people') = 'ARRAY' THEN c->'people' ELSE c->'people'->'persons' END AS people FROM whole),
 person AS (SELECT * FROM (SELECT record_id, unnest(l) AS p, generate_subscripts(l, 1) AS no FROM (SELECT record_id, {_objects("people")} AS l FROM parts)) WHERE json_type(p) = 'OBJECT')
 """
-SQL: dict[str, str] = {
-    "p4_found": r"""WITH line AS (SELECT file_id, split_part(file_path, '/frequency/', 1) AS origin, generate_subscripts(string_split(body, chr(10)), 1) AS ln, unnest(string_split(body, chr(10))) AS x FROM tiny_files WHERE kind = 'frequencies' AND body IS NOT NULL),
+_PIECES = r"""WITH line AS (SELECT file_id, split_part(file_path, '/frequency/', 1) AS origin, generate_subscripts(string_split(body, chr(10)), 1) AS ln, unnest(string_split(body, chr(10))) AS x FROM tiny_files WHERE kind = 'frequencies' AND body IS NOT NULL),
 cells AS (SELECT file_id, origin, ln, list_transform(regexp_extract_all(rtrim(x, chr(13)) || ',', '("(?:[^"]|"")*"|[^,"]*),', 1), lambda v: CASE WHEN starts_with(v, '"') THEN replace(v[2:-2], '""', '"') ELSE v END) AS c FROM line WHERE trim(x, chr(13) || ' ,') <> ''),
 headed AS (SELECT *, last_value(CASE WHEN list_sort(list_transform(c, lambda v: trim(v))) @> ['cohort', 'count', 'dimension', 'label'] THEN list_transform(c, lambda v: trim(v)) END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY ln) AS head,
   list_sort(list_transform(c, lambda v: trim(v))) @> ['cohort', 'count', 'dimension', 'label'] AS is_head FROM cells),
@@ -74,7 +86,14 @@ piece AS (SELECT file_id, 1 AS ln, CAST(t AS JSON) AS j FROM audit WHERE json_va
 numbered AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY ln) AS record_no, j FROM piece WHERE json_type(j) = 'OBJECT'),
 document AS (SELECT file_id, record_no, string_agg(n.fullkey || ' ' || n.type || ' ' || coalesce(n.atom->>'$', ''), chr(30) ORDER BY n.fullkey) AS key FROM numbered, json_tree(numbered.j) n GROUP BY ALL),
 every AS (SELECT 'f' AS kind, * FROM frequency UNION ALL SELECT 'a', * FROM document)
-SELECT file_id, CAST(record_no AS INTEGER) AS record_no FROM every QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY file_id, record_no) > 1""",
+"""
+SQL: dict[str, str] = {
+    "p4_found": _PIECES + """SELECT file_id, CAST(record_no AS INTEGER) AS record_no FROM every QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY file_id, record_no) > 1""",
+    "p4_kept": _PIECES + """, kept AS (SELECT file_id FROM every QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY file_id, record_no) = 1), n AS (SELECT file_id, count(*) AS n FROM kept GROUP BY ALL)
+SELECT kind, count(*) AS files, CAST(sum(n_bytes) AS BIGINT) AS bytes, CAST(coalesce(sum(n), 0) AS BIGINT) AS records FROM tiny_files LEFT JOIN n USING (file_id) GROUP BY ALL""",
+    "p7_rows": r"""WITH once AS (SELECT * FROM drift_files WHERE stream IS NOT NULL AND file_seq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY stream, file_seq ORDER BY file_id) = 1),
+line AS (SELECT stream, file_seq, generate_subscripts(string_split(body, chr(10)), 1) AS ln, unnest(string_split(body, chr(10))) AS x FROM once WHERE kind = 'summary_report')
+SELECT stream, file_seq, CAST(ln AS INTEGER) AS line_no, coalesce(x->>'$.image_id', x->>'$.report_id') AS record_id FROM line WHERE CASE WHEN json_valid(x) THEN json_type(x) = 'OBJECT' ELSE false END""",
     "p7_found": r"""WITH RECURSIVE once AS (SELECT * FROM drift_files WHERE stream IS NOT NULL AND file_seq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY stream, file_seq ORDER BY file_id) = 1),
 files AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY file_seq) AS idx FROM once),
 line AS (SELECT stream, idx, kind, generate_subscripts(string_split(body, chr(10)), 1) AS ln, unnest(string_split(body, chr(10))) AS x FROM files),

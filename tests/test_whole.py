@@ -61,7 +61,7 @@ def test_dirty_dimension_names_have_rows(spark):
 
 
 @pytest.mark.parametrize(("name", "key", "column", "condition"), [
-    ("k03_nested_counts", "dimension", "dimension", "label IS NOT NULL"), ("k02_count_rows", "dimension", "dimension", "true"), ("f14_o01_o04_final_columns", "Label", "label", "label IS NOT NULL"),
+    ("k03_nested_counts", "dimension", "dimension", "label IS NOT NULL"), ("k02_count_rows", "dimension", "dimension", "true"), ("f14_final_columns", "Label", "label", "label IS NOT NULL"),
     ("c12_collapse", "dimension", "dimension", "label IS NOT NULL AND count IS NOT NULL"), ("x08_wilson", "dimension", "dimension", "label IS NOT NULL"),
 ])
 def test_no_dimension_is_left_out(spark, name, key, column, condition):
