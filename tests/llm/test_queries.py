@@ -1,0 +1,32 @@
+"""Every query with SQL gives the rows of its SQL on the smallest tables."""
+
+import glob
+import os
+from collections import Counter
+
+import duckdb
+import pytest
+
+from dapple.llm.queries import QUERIES, SQL
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for p in glob.glob(f"{DATA}/*.parquet"):
+        con.execute(f"CREATE VIEW \"{os.path.basename(p)[:-8]}\" AS SELECT * FROM '{p}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_rows(spark, duck, name):
+    df = QUERIES[name](spark, DATA)
+    names = sorted(df.columns)
+    got = Counter(tuple(r[c] for c in names) for r in df.collect())
+    cur = duck.execute(SQL[name])
+    columns = [d[0] for d in cur.description]
+    assert sorted(columns) == names
+    assert got == Counter(tuple(r[columns.index(c)] for c in names) for r in cur.fetchall())

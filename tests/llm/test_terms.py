@@ -44,3 +44,21 @@ def test_marks_and_empty(spark):
 def test_long_text(spark):
     df = spark.createDataFrame([(1, "word " * 200_000, 1, None, None)], SCHEMA)
     assert [tuple(r) for r in term_frequencies(df, "label", "count").collect()] == [("word", 1, 200_000)]
+
+
+def test_partitions_and_repeated_runs_change_nothing(spark):
+    """Long texts that are all different, in any number of partitions: the counts stay, run after run."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices([f"w{n}" for n in range(60)], k=300)) + f" only{i}", i % 7, None, f"r{i % 50}") for i in range(150)]
+    want, of_records = brute(rows), brute(rows, 4)
+    for parts in (1, 3, 16):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+        for _ in range(2):
+            assert {tuple(r) for r in term_frequencies(df, "label", "count").collect()} == want
+            assert {tuple(r) for r in term_frequencies(df, "label", "count", record="record").collect()} == of_records
+
+
+def test_texts_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, "a b", 1, None, None)], SCHEMA)
+    plan = term_frequencies(df, "label", "count")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(term" in plan

@@ -1,4 +1,6 @@
-from dapple.llm.vocabulary import map_entries
+import random
+
+from dapple.llm.vocabulary import map_entries, pigeonhole
 
 REF = "map_id bigint, canonical_id bigint, cohort string, dimension string, label string, canonical_label string"
 ENTRY = "entry_id bigint, dimension string, label string, value string, id string"
@@ -36,3 +38,34 @@ def test_entries_late_in_long_values(spark):
     values = [(f"{before} mop bucket here", 1), (f"{before} {name} here", 12), (f"{before} here", 0)]
     entries = spark.createDataFrame([(i, "items", v, None, None) for i, (v, _) in enumerate(values)], ENTRY)
     assert {r.entry_id: r.canonical_id for r in map_entries(entries, refs).collect()} == {i: c for i, (_, c) in enumerate(values)}
+
+
+def test_rotations_and_transpositions_of_any_length(spark):
+    name = "one two three four five six seven eight nine"
+    refs = spark.createDataFrame([*REFS, (13, 12, "o", "items", name, name), (14, 13, "o", "items", "key", "key")], REF)
+    values = [("six seven eight nine one two three four five", 12), ("six seven eight nine one two thre four five", 12), ("kye", 13), ("eky", 13), ("yek", 13), ("kzzy", 0), ("wheel bar", 2), ("wh", 0), ("", 0)]
+    entries = spark.createDataFrame([(i, "items", v, None, None) for i, (v, _) in enumerate(values)], ENTRY)
+    got = {r.entry_id: r.canonical_id for r in map_entries(entries, refs).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(values)}
+
+
+def test_pigeonhole_loses_no_pair(spark):
+    """Against all pairs: every value within the accepted edits of a reference string is found."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abc", k=rng.randint(1, 16))) for _ in range(60)]
+    typed = words[:20] + ["".join(c for c in w if rng.random() > 0.15) + rng.choice(["", "a", "bc"]) for w in words * 3]
+    forms = spark.createDataFrame([("near", v, 0, v, v) for v in set(typed) if v], "kind string, value string, rank int, form string, own string")
+    k = lambda r: min(4, max(1, len(r) // 3), len(r) - 1)
+    refs = spark.createDataFrame([("near", i, "s", r, r, k(r)) for i, r in enumerate(words)], "kind string, id int, scope string, ref string, own string, most int")
+    got = {(r.value, r.id): r.d for r in pigeonhole(forms, refs).collect()}
+    want = {(v, i): d for v in set(typed) if v for i, r in enumerate(words) if (d := distance(v, r)) <= k(r)}
+    assert got == want and len(want) > 100
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
