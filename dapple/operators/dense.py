@@ -4,9 +4,10 @@ A group g is (model, dimension, cohort, prompt_group). Every label of a group ge
 of the group, 0 where it wasn't seen. Denominators need one distinct count, of prompts at (group, context, occupation):
 prompts of different occupations and contexts are different, so the higher levels are sums of it.
 
-The dense rows are never shuffled. What is joined has a row a (group, context, label): its total, and the counts of the
-occupations it was seen at as a map. Each row then spreads to the occupations of its (group, context), which come as a
-list, in blocks of about OCCUPATIONS so that no list grows with the number of occupations.
+The dense rows are never shuffled. Counts are partitioned by group and label once and become a map of contexts to their
+total and a map of occupations to counts. Each (group, label) then meets its group's places, the list of contexts and
+occupations with their denominators, and spreads to them. Lists of places come in blocks of about OCCUPATIONS
+occupations, so that none grows with their number.
 """
 
 from __future__ import annotations
@@ -57,15 +58,25 @@ def dense_fact(obs: DataFrame, cap: int = CAP, capped: bool = True, pooled: bool
     counts = written(prompt_counts(obs, cap if capped else None, pooled), "prompt-counts")
     blocks = max(1, -(-counts.agg(F.approx_count_distinct("occupation")).first()[0] // OCCUPATIONS))
     block = F.pmod(F.xxhash64("occupation"), F.lit(blocks)).cast("int")
-    labels = counts.groupBy(*GROUP, "label").agg(F.sum("count").alias("obs_whole"))
-    labels = labels.join(labels.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("bins")), GROUP)
-    seen = counts.groupBy(*GROUP, "context", "occupation", "label").agg(F.sum("count").alias("count"))
-    there = seen.groupBy(*GROUP, "context", "label", block.alias("_b")).agg(F.map_from_entries(F.collect_list(F.struct("occupation", "count"))).alias("_seen"), F.sum("count").alias("_c"))
-    of_context = there.groupBy(*GROUP, "context", "label").agg(F.sum("_c").alias("obs_context"))
-    places = denominators(counts, cap).groupBy(*GROUP, "context", "n_context", "n_all", block.alias("_b")).agg(F.collect_list(F.struct("occupation", "n_occ")).alias("_at"))
-    grid = places.join(labels, GROUP).join(of_context, [*GROUP, "context", "label"], "left").join(there.drop("_c"), [*GROUP, "context", "label", "_b"], "left")
-    rows = grid.withColumn("_o", F.explode("_at")).withColumns({"occupation": F.col("_o.occupation"), "n_occ": F.col("_o.n_occ"), "obs_context": F.coalesce("obs_context", F.lit(0))})
-    rows = rows.withColumn("count", F.coalesce(F.try_element_at("_seen", F.col("occupation")), F.lit(0))).drop("_at", "_o", "_seen", "_b")
+    by, part = [*GROUP, "label"], ["_b"] if blocks > 1 else []
+    of_map = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+    placed = counts.withColumn("_b", block) if part else counts
+    seen = placed.repartition(*by, *part).groupBy(*by, *part, "context", "occupation").agg(F.sum("count").alias("count"))
+    there = seen.groupBy(*by, *part, "context").agg(of_map("occupation", "count").alias("m"), F.sum("count").alias("n"))
+    cells = there.groupBy(*by, *part).agg(of_map("context", F.struct("n", "m")).alias("_cells"), F.sum("n").alias("obs_whole"))
+    bins = counts.groupBy(*GROUP).agg(F.countDistinct("label").alias("bins"))
+    places = denominators(counts, cap).withColumn("_b", block).groupBy(*GROUP, "n_all", *part).agg(F.collect_list(F.struct("context", "n_context", "occupation", "n_occ")).alias("_places"))
+    groups = places.join(bins, GROUP)
+    if part:  # a label is at every block of its group, with totals over all of them
+        in_context = counts.groupBy(*by, "context").agg(F.sum("count").alias("n"))
+        totals = in_context.groupBy(*by).agg(of_map("context", "n").alias("_in"), F.sum("n").alias("obs_whole"))
+        rows = totals.join(groups, GROUP).join(cells.drop("obs_whole"), [*by, "_b"], "left")
+    else:
+        rows = cells.join(groups, GROUP)
+    rows = rows.withColumn("_p", F.explode("_places")).select(*by, "obs_whole", "n_all", "bins", "_p.*", "_cells", *(["_in"] if part else []))
+    cell = F.try_element_at("_cells", F.col("context"))
+    in_all = F.try_element_at("_in", F.col("context")) if part else cell["n"]
+    rows = rows.withColumns({"count": F.coalesce(F.try_element_at(cell["m"], F.col("occupation")), F.lit(0)), "obs_context": F.coalesce(in_all, F.lit(0))}).drop("_cells", "_in")
     return expectations(rows)
 
 
