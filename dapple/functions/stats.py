@@ -74,7 +74,8 @@ def medians(df: DataFrame, value: str, sets: list[list[str]], scale: float = 100
     Values are counted, and their counts added up in buckets of 1 / ``scale``: only the one or two buckets that hold a group's
     middle are looked at value by value, so no group is sorted in one task."""
     names = list(dict.fromkeys(c for s in sets for c in s))
-    parts = [df.where(F.col(value).isNotNull()).groupBy(*s, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).select(F.lit(i).alias("_set"), *[(F.col(n) if n in s else F.lit(None).cast(dict(df.dtypes)[n])).alias(n) for n in names], "_v", "_c") for i, s in enumerate(sets)]
+    finest = written(df.where(F.col(value).isNotNull()).groupBy(*names, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")), "values")
+    parts = [finest.groupBy(*s, "_v").agg(F.sum("_c").alias("_c")).select(F.lit(i).alias("_set"), *[(F.col(n) if n in s else F.lit(None).cast(dict(df.dtypes)[n])).alias(n) for n in names], "_v", "_c") for i, s in enumerate(sets)]
     counts = parts[0]
     for part in parts[1:]:
         counts = counts.unionByName(part)
