@@ -1,8 +1,6 @@
 """Similar strings: Ratcliff ratio, TF-IDF over character n-grams, greedy vocabularies and clusters.
 
-Pairs come from a prefix-filtered join: each value's n-grams are ordered from rare to common, and only as many of
-them are joined on as are needed so that the rest can't reach the threshold. No pair above it is lost, and common
-n-grams, which most values share, don't make pairs.
+Pairs come from ``operators/pairs``, which compares all values of a group in blocks and stores no candidates.
 """
 
 from __future__ import annotations
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from dapple.functions import normalize as N
+from dapple.operators.pairs import grams_of, text_pairs, vector_pairs
 from dapple.runtime import written
 
 COMBINED, GATE, DEDUPE, COSINE = 0.80, 0.65, 0.88, 0.80
@@ -56,8 +55,7 @@ def tfidf(values: DataFrame, by: list[str], text: str, low: int = 2, high: int =
     """``by``, ``text``, ``gram``, ``w``, ``df``: unit TF-IDF vectors over character n-grams, smooth idf, within each group of values.
 
     Values must be distinct within a group; those shorter than ``low`` have no vector."""
-    grams = F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))))
-    tf = values.select(*by, text, F.explode(grams).alias("gram")).groupBy(*by, text, "gram").agg(F.count(F.lit(1)).alias("tf"))
+    tf = values.select(*by, text, F.explode(grams_of(text, low, high)).alias("gram")).groupBy(*by, text, "gram").agg(F.count(F.lit(1)).alias("tf"))
     n = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     df = tf.groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("df"))
     raw = tf.join(df, [*by, "gram"]).join(n, by).withColumn("_w", F.col("tf") * (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1))
@@ -67,20 +65,12 @@ def tfidf(values: DataFrame, by: list[str], text: str, low: int = 2, high: int =
 
 def similar_pairs(vectors: DataFrame, by: list[str], text: str, threshold: float) -> DataFrame:
     """``by``, ``a``, ``b``, ``cosine``: pairs a < b of values whose vectors have a cosine of ``threshold`` or more."""
-    w = Window.partitionBy(*by, text).orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rest = F.sum(F.col("w") * F.col("w")).over(w)  # of the n-grams up to here, from the common end
-    prefix = vectors.withColumn("_rest", rest).where(F.col("_rest") >= threshold * threshold - 1e-12).select(*by, text, "gram")
-    left, right = prefix.withColumnRenamed(text, "a"), prefix.withColumnRenamed(text, "b")
-    candidates = left.join(right, [*by, "gram"]).where("a < b").select(*by, "a", "b").distinct()
-    va = vectors.select(*by, F.col(text).alias("a"), "gram", F.col("w").alias("wa"))
-    vb = vectors.select(*by, F.col(text).alias("b"), "gram", F.col("w").alias("wb"))
-    dots = candidates.join(va, [*by, "a"]).join(vb, [*by, "b", "gram"]).groupBy(*by, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    return dots.where(F.col("cosine") >= threshold)
+    return vector_pairs(vectors, by, text, threshold)
 
 
 def combined_pairs(values: DataFrame, by: list[str], text: str, threshold: float = COMBINED) -> DataFrame:
     """Pairs with (cosine + ratio) / 2 of ``threshold`` or more. As a ratio is at most 1, the cosine must reach 2 x threshold - 1."""
-    pairs = similar_pairs(written(tfidf(values, by, text), "vectors"), by, text, 2 * threshold - 1)
+    pairs = text_pairs(values, by, text, 2 * threshold - 1)
     need = 2 * threshold - F.col("cosine") - 1e-9
     longest = 2 * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b"))  # no ratio is above it
     scored = pairs.where(longest >= need).withColumn("ratio", ratio_from("a", "b", need))
