@@ -46,7 +46,7 @@ def x15(spark, sf_dir):
 
 @query("x15_j16_similar_pairs", _VECTORS + "SELECT a.plain AS a, b.plain AS b, round(sum(a.w * b.w), 7) AS cosine FROM vec a JOIN vec b ON a.gram = b.gram AND a.plain < b.plain GROUP BY ALL HAVING sum(a.w * b.w) >= 0.6")
 def j16(spark, sf_dir):
-    return rounded(S.similar_pairs(S.tfidf(_names(spark, sf_dir), ["column"], "plain"), ["column"], "plain", 0.6).select("a", "b", "cosine"), 7)
+    return rounded(S.text_pairs(_names(spark, sf_dir), ["column"], "plain", 0.6).select("a", "b", "cosine"), 7)
 
 
 @query("x14_x16_combined_pairs")
